@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from lakeloom.llm import bpe, chat, media, quality
+from lakeloom.llm import bpe, chat, media, quality, simhash
 
 #: Name of the vocabulary file in the folder of public tokenizers.
 BPE_FILE = "byte_bpe_50k.json"
@@ -40,6 +40,11 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(table(spark, sf_dir, "documents"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SimHash of every document and the least document that links of at most four bits reach."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one that quotes control strings, formatted and read back."""
     own = "</s>[INST] ok [/INST]"
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
     "op3_media": op3_media,
+    "op5_simhash": op5_simhash,
     "op6_chat": op6_chat,
 }
 
