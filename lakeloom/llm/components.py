@@ -28,7 +28,8 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         # The rounds are over when all edges lead to roots, that is when no node is both an upper and a lower end, and nothing changed.
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == known:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
         known = state
 
 

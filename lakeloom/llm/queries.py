@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from lakeloom.llm import bpe, chat, media, quality, simhash
+from lakeloom.llm import bpe, chat, licenses, lines, media, quality, simhash
 
 #: Name of the vocabulary file in the folder of public tokenizers.
 BPE_FILE = "byte_bpe_50k.json"
@@ -40,6 +40,11 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(table(spark, sf_dir, "documents"))
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that repeat, or nearly repeat, a line that stays."""
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The SimHash of every document and the least document that links of at most four bits reach."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -53,12 +58,19 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chat(rows.unionByName(extra)))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and declarations in every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
     "op3_media": op3_media,
+    "op4_lines": op4_lines,
     "op5_simhash": op5_simhash,
     "op6_chat": op6_chat,
+    "op7_licenses": op7_licenses,
 }
 
 SQL: dict[str, str] = {}
