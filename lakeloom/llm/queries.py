@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from lakeloom.llm import bpe, chat, licenses, lines, media, quality, simhash
+from lakeloom.llm import bpe, chat, decontaminate, licenses, lines, media, quality, simhash
 
 #: Name of the vocabulary file in the folder of public tokenizers.
 BPE_FILE = "byte_bpe_50k.json"
@@ -63,6 +63,11 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that contains a benchmark item, with the item and the place."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_chat": op6_chat,
     "op7_licenses": op7_licenses,
+    "op8_decontaminate": op8_decontaminate,
 }
 
 SQL: dict[str, str] = {}
