@@ -45,3 +45,9 @@ def free_name(taken: list[str], wanted: str) -> str:
     while wanted.lower() in lowered:
         wanted += "_"
     return wanted
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors share: the checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from lakeloom.llm import bpe, chat, decontaminate, licenses, lines, media, quality, simhash, suffixes
+from lakeloom.llm import bpe, chat, decontaminate, html, licenses, lines, media, quality, simhash, suffixes
 
 #: Name of the vocabulary file in the folder of public tokenizers.
 BPE_FILE = "byte_bpe_50k.json"
@@ -68,6 +68,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every document without the 200-byte strings that start anywhere else too."""
     return suffixes.digests(table(spark, sf_dir, "documents"))
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chat": op6_chat,
     "op7_licenses": op7_licenses,
     "op8_decontaminate": op8_decontaminate,
+    "op9_html": op9_html,
     "op10_suffixes": op10_suffixes,
 }
 
