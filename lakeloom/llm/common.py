@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -51,3 +52,9 @@ def shared_folder(spark: SparkSession) -> str:
     """A folder that the driver and all executors share: the checkpoint folder."""
     ensure_checkpoint_dir(spark)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let the context cleaner delete the shuffle files of plans that nothing refers to any more; else they stay until the driver happens to collect."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
