@@ -17,6 +17,7 @@ what can match, not over arbitrary cuts of the corpus:
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -140,24 +141,34 @@ def _induce(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, alphabet: int) ->
     return np.concatenate(out)
 
 
-def _by_doubling(names: np.ndarray) -> np.ndarray:
-    """The suffix order of a string of names."""
-    n, width, rank = len(names), 1, names.astype(np.int64)
-    while True:
-        second = np.r_[rank[width:], np.zeros(min(width, n), np.int64)][:n] if width < n else np.zeros(n, np.int64)
-        key = rank * (n + 2) + second
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        new = np.cumsum(np.r_[1, sorted_key[1:] != sorted_key[:-1]])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n:
-            return order
+def _by_doubling(order: np.ndarray, is_new: np.ndarray, depth: int | None) -> np.ndarray:
+    """The suffix order of a string of names, given the order by first names and where a name differs from the one before.
+
+    Only groups that are still tied are sorted again, by what follows at the doubled distance. Suffixes that agree in ``depth`` names
+    may stay tied: an LMS substring has two symbols at least, so they agree in more than ``depth`` symbols.
+    """
+    n, width = len(order), 1
+    order = order.copy()
+    start = np.maximum.accumulate(np.where(is_new, np.arange(n), 0))
+    rank = np.empty(n, np.int64)
+    rank[order] = start
+    tied = np.flatnonzero(~(is_new & np.r_[is_new[1:], True]))
+    while len(tied) and (depth is None or width <= depth):
+        items = order[tied]
+        after = items + width
+        key = rank[items] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        by_key = np.argsort(key, kind="stable")
+        items, key = items[by_key], key[by_key]
+        order[tied] = items
+        new = np.r_[True, key[1:] != key[:-1]]
+        rank[items] = tied[np.maximum.accumulate(np.where(new, np.arange(len(items)), 0))]
+        tied = tied[~(new & np.r_[new[1:], True])]
         width *= 2
+    return order
 
 
-def suffix_array(s: np.ndarray, alphabet: int) -> np.ndarray:
-    """The sorted suffixes of a string of small numbers whose last symbol is less than all others."""
+def suffix_array(s: np.ndarray, alphabet: int, depth: int | None = None) -> np.ndarray:
+    """The sorted suffixes of a string of small numbers whose last symbol is less than all others; with ``depth`` by so many symbols at least."""
     is_s = _classify(s)
     lms = np.flatnonzero(is_s & ~np.r_[True, is_s[:-1]])
     if not len(lms):
@@ -181,9 +192,7 @@ def suffix_array(s: np.ndarray, alphabet: int) -> np.ndarray:
         live = live[equal]
         live = live[length[live] > step]
         step += 1
-    names = np.empty(len(lms), np.int64)
-    names[number[ordered]] = np.cumsum(np.r_[1, ~same])
-    exact = lms[_by_doubling(names)] if names.max() < len(lms) else ordered
+    exact = lms[_by_doubling(number[ordered], np.r_[True, ~same], depth)] if same.any() else ordered
     return _induce(s, is_s, exact, alphabet)
 
 
@@ -193,6 +202,8 @@ def repeated_starts(contexts: list[bytes], place: np.ndarray, first: np.ndarray)
     ``place`` numbers the texts that contexts are from and ``first`` has their first bytes there: overlapping contexts of a text hold
     the same string at the same place twice, which does not count.
     """
+    if not contexts:
+        return []
     lengths = np.fromiter(map(len, contexts), np.int64, len(contexts))
     data = np.frombuffer(b"\0".join(contexts) + bytes(LENGTH), np.uint8)
     begin = np.cumsum(lengths + 1) - lengths - 1
@@ -200,8 +211,10 @@ def repeated_starts(contexts: list[bytes], place: np.ndarray, first: np.ndarray)
     s = data[:n].astype(np.int16) + 2
     s[begin + lengths] = 1  # between contexts
     s[-1] = 0
-    used, compact = np.unique(s, return_inverse=True)
-    order = suffix_array(compact.astype(np.int16), len(used))
+    used = np.flatnonzero(np.bincount(s, minlength=258))
+    lookup = np.zeros(258, np.int16)
+    lookup[used] = np.arange(len(used))
+    order = suffix_array(lookup[s], len(used), LENGTH)
     context = np.repeat(np.arange(len(contexts)), lengths + 1)
     offset = np.arange(n) - begin[context]
     starts = offset <= lengths[context] - LENGTH
@@ -248,22 +261,32 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 # --- distributed steps ---
 
 
+def _runs(at: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last positions of runs of equal contexts whose contexts touch: periodic text gives a row for each period, not for each place."""
+    order = np.lexsort((at, f))
+    a, g = at[order], f[order]
+    new = np.r_[True, (g[1:] != g[:-1]) | (a[1:] - a[:-1] > REACH + LENGTH)]
+    first = np.flatnonzero(new)
+    return order[first], a[np.r_[first[1:], len(a)] - 1]
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "x", 4 << 20):
-            columns: list[list] = [[], [], [], [], []]
+            columns: list[list] = [[], [], [], [], [], []]
             for x, rk, digest in zip(*(part.column(i).to_pylist() for i in range(3))):
                 data = x.encode()
                 at, h = anchors(np.frombuffer(data, np.uint8))
-                f = [xxhash.xxh64_intdigest(data[max(0, p - REACH) : p + LENGTH], min(p, REACH)) for p in at.tolist()]
-                for column, values in zip(columns, (h.view(np.int64), np.array(f, np.uint64).view(np.int64), np.full(len(at), rk, np.int64), np.full(len(at), digest, np.int64), at.astype(np.int32))):
+                f = np.array([xxhash.xxh64_intdigest(data[max(0, p - REACH) : p + LENGTH], min(p, REACH)) for p in at.tolist()], np.uint64)
+                first, last = _runs(at, f)
+                for column, values in zip(columns, (h[first].view(np.int64), f[first].view(np.int64), np.full(len(first), rk, np.int64), np.full(len(first), digest, np.int64), at[first].astype(np.int32), last.astype(np.int32))):
                     column.append(values)
             if columns[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["h", "f", "rk", "digest", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["h", "f", "rk", "digest", "p", "q"])
 
 
 def _context_rows(crowded: bool):
-    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,9 +297,9 @@ def _context_rows(crowded: bool):
                     for r in found:
                         if r["alone"] and r["crowded"] == crowded:
                             s = max(0, r["p"] - REACH)
-                            rows.append((r["h"], data[s : r["p"] + LENGTH], rk, digest, s))
+                            rows.append((r["h"], data[s : r["p"] + LENGTH], rk, digest, s, r["p"]))
                 for at in range(0, len(rows), 10_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows[at : at + 10_000]), kinds)], ["h", "context", "rk", "digest", "s"])
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows[at : at + 10_000]), kinds)], ["h", "context", "rk", "digest", "s", "p"])
 
     return run
 
@@ -284,12 +307,21 @@ def _context_rows(crowded: bool):
 _SPANS = ["rk", "digest", "a", "b"]
 
 
+def _with_partners(rows: list[tuple]) -> list[tuple]:
+    """Rows of which a string can stand elsewhere: it has half of its reach beyond the anchor on one side, and so shares that side with another context of the anchor."""
+    half = REACH // 2
+    sides = [((h, 0, context[max(0, p - s - half) : p - s + GRAM]), (h, 1, context[p - s : p - s + GRAM + half])) for h, context, _, _, s, p in rows]
+    seen = Counter(x for pair in sides for x in pair)
+    return [r for r, pair in zip(rows, sides) if any(seen[x] > 1 for x in pair)]
+
+
 def _shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Suffix arrays over runs of whole groups of at least ``SHARD_BYTES`` together; rows come sorted by hash."""
     held: list[tuple] = []
     size = 0
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
+        rows = _with_partners(rows)
         texts = {k: i for i, k in enumerate(dict.fromkeys((r[2], r[3]) for r in rows))}
         place = np.array([texts[r[2], r[3]] for r in rows], np.int64)
         found = repeated_starts([r[1] for r in rows], place, np.array([r[4] for r in rows], np.int64))
@@ -310,7 +342,7 @@ def _shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Two hashes of every string of a context."""
     for batch in batches:
-        for context, rk, digest, s in zip(*(c.to_pylist() for c in batch.columns[1:])):
+        for context, rk, digest, s in zip(*(c.to_pylist() for c in batch.columns[1:5])):
             rows = [(int.from_bytes((d := xxhash.xxh128_digest(context[i : i + LENGTH]))[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), rk, digest, s + i) for i in range(len(context) - LENGTH + 1)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows)], ["u", "v", "rk", "digest", "a"])
@@ -325,7 +357,7 @@ def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if copies is not None and copies > 1:
                     gone = [(0, len(data))]
                 else:
-                    gone = [(max(0, r["p"] - REACH), min(len(data), r["p"] + LENGTH)) for r in found or () if r["equal"]]
+                    gone = [(max(0, r["p"] - REACH), min(len(data), r["q"] + LENGTH)) for r in found or () if r["equal"]]
                     gone = merged(gone + [(r["a"], r["b"]) for r in more or ()])
                 edges = [0, *(e for span in gone for e in span), len(data)]
                 kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
@@ -348,16 +380,16 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", group
     own = texts.distinct().join(chosen, ["digest", "other"]).select("rk", "digest", "copies", (F.col("rk") == F.col("acting")).alias("acts"))
     dealt = rows.repartition("rk", "digest")  # the only time that texts move
     acting = dealt.join(own.where("acts"), ["rk", "digest"])
-    acting.select("x", "rk", "digest").mapInArrow(_anchor_rows, "h long, f long, rk long, digest long, p int").createOrReplaceTempView("_anchor_places")
+    acting.select("x", "rk", "digest").mapInArrow(_anchor_rows, "h long, f long, rk long, digest long, p int, q int").createOrReplaceTempView("_anchor_places")
     spark.sql("""
-        SELECT *, count(*) OVER (PARTITION BY h) AS n_h, count(*) OVER (PARTITION BY h, f) AS n_f, row_number() OVER (PARTITION BY h, f ORDER BY rk, digest, p) AS nth
+        SELECT *, sum(IF(q > p, 2, 1)) OVER (PARTITION BY h) AS n_h, sum(IF(q > p, 2, 1)) OVER (PARTITION BY h, f) AS n_f, row_number() OVER (PARTITION BY h, f ORDER BY rk, digest, p) AS nth
         FROM _anchor_places""").where("n_h > 1").createOrReplaceTempView("_anchor_counts")
-    marked = spark.sql("SELECT h, rk, digest, p, n_f > 1 AS equal, nth = 1 AND n_h > n_f AS alone, sum(CAST(nth = 1 AS INT)) OVER (PARTITION BY h) AS contexts FROM _anchor_counts").where("equal OR alone")
-    by_text = marked.groupBy("rk", "digest").agg(F.collect_list(F.struct("p", "h", "equal", "alone", (F.col("contexts") > group).alias("crowded"))).alias("found"))
+    marked = spark.sql("SELECT h, rk, digest, p, q, n_f > 1 AS equal, nth = 1 AND n_h > n_f AS alone, sum(CAST(nth = 1 AS INT)) OVER (PARTITION BY h) AS contexts FROM _anchor_counts").where("equal OR alone")
+    by_text = marked.groupBy("rk", "digest").agg(F.collect_list(F.struct("p", "q", "h", "equal", "alone", (F.col("contexts") > group).alias("crowded"))).alias("found"))
 
     def contexts(crowded: bool) -> DataFrame:
         some = by_text.where(F.exists("found", lambda r: r["alone"] & (r["crowded"] == F.lit(crowded))))
-        return dealt.join(some, ["rk", "digest"]).select("x", "rk", "digest", "found").mapInArrow(_context_rows(crowded), "h long, context binary, rk long, digest long, s int")
+        return dealt.join(some, ["rk", "digest"]).select("x", "rk", "digest", "found").mapInArrow(_context_rows(crowded), "h long, context binary, rk long, digest long, s int, p int")
 
     sorted_spans = contexts(False).repartition("h").sortWithinPartitions("h").mapInArrow(_shard_rows, "rk long, digest long, a long, b long")
     strings = contexts(True).mapInArrow(_string_rows, "u long, v long, rk long, digest long, a long")
