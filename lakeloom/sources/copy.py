@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 
 def _options(csv: bool, header: bool) -> dict[str, str]:
-    return {"sep": "," if csv else "\t", "nullValue": "" if csv else "\\N", "emptyValue": "" if not csv else "", "quote": "\u0000", "escape": "\u0000", "header": str(header).lower()}
+    return {"sep": "," if csv else "\t", "nullValue": "" if csv else "\\N", "emptyValue": "", "quote": "\u0000", "escape": "\u0000", "header": str(header).lower()}
 
 
 def copy_from(spark: SparkSession, path: str, schema: str | T.StructType, csv: bool = False, header: bool = False, columns: list[str] | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from lakeloom.plans import analytic, basic, changes, registry, scalars  # noqa: F401
+from lakeloom.plans import analytic, basic, changes, front, registry, scalars  # noqa: F401
 from tests.oracle import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
