@@ -223,7 +223,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", block
 
     Null text counts as empty and gives an empty array. Other columns are kept; a column named ``ids`` is replaced.
     """
-    others = [f for f in df.schema.fields if f.name != ids]
+    others = [f for f in df.schema.fields if f.name.lower() != ids.lower()]
     schema = T.StructType([*others, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
     names = [f.name for f in others]
 
@@ -240,7 +240,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", block
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Adds ``text``, the string of each array ``ids``; special tokens are written out, null ids give null."""
-    others = [f for f in df.schema.fields if f.name != text]
+    others = [f for f in df.schema.fields if f.name.lower() != text.lower()]
     schema = T.StructType([*others, T.StructField(text, T.StringType(), True)])
     names = [f.name for f in others]
 

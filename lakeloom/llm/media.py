@@ -93,7 +93,7 @@ def pairs(at: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def encode(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """Adds ``media``, the text's UTF-8 bytes, padded, as a WAV file. Null text counts as empty; a column of that name is replaced."""
-    others = [f for f in df.schema.fields if f.name != media]
+    others = [f for f in df.schema.fields if f.name.lower() != media.lower()]
     names = [f.name for f in others]
     schema = T.StructType([*others, T.StructField(media, T.BinaryType(), False)])
 
@@ -111,7 +111,7 @@ FINGERPRINT = T.StructType([T.StructField("fp_times", T.ArrayType(T.IntegerType(
 
 def fingerprint(df: DataFrame, media: str = "media") -> DataFrame:
     """Adds the time-coded arrays ``fp_times`` and ``fp_hashes`` of a column of WAV files; null gives empty arrays."""
-    others = [f for f in df.schema.fields if f.name not in FINGERPRINT.names]
+    others = [f for f in df.schema.fields if f.name.lower() not in FINGERPRINT.names]
     names = [f.name for f in others]
     schema = T.StructType([*others, *FINGERPRINT.fields])
 

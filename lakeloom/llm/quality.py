@@ -124,7 +124,7 @@ def training_rows(df: DataFrame, labels: DataFrame, key: str, text: str, label:
 
 def score(df: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
     """Adds ``column``, the probability of class 1, from the whole text. Null counts as empty; a column of that name is replaced."""
-    others = [f for f in df.schema.fields if f.name != column]
+    others = [f for f in df.schema.fields if f.name.lower() != column.lower()]
     names = [f.name for f in others]
     schema = T.StructType([*others, T.StructField(column, T.DoubleType(), False)])
     shared = df.sparkSession.sparkContext.broadcast((model.direction.astype(np.float64), model.bias))

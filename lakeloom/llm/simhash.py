@@ -53,7 +53,7 @@ def fingerprint(text: str | None) -> int:
 
 def add_fingerprint(df: DataFrame, text: str = "text", column: str = "simhash") -> DataFrame:
     """Adds ``column``, the fingerprint as a signed 64-bit number; a column of that name is replaced. Null and wordless texts: 0."""
-    others = [f for f in df.schema.fields if f.name != column]
+    others = [f for f in df.schema.fields if f.name.lower() != column.lower()]
     names = [f.name for f in others]
     schema = T.StructType([*others, T.StructField(column, T.LongType(), False)])
 
