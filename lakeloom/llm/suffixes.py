@@ -11,8 +11,8 @@ what can match, not over arbitrary cuts of the corpus:
    and named, their order is resolved (by prefix doubling of the names in place of deeper recursion) and all suffixes are induced from it. Induction runs bucket by bucket in
    waves, each one a numpy operation, which is linear in the shard. Common prefixes of neighbours are kept by text position,
    and starts whose common prefix reaches 200 with a string at another place are duplicates.
-4. An anchor with more than ``GROUP`` different contexts would outgrow a shard. All its strings are hashed instead and counted by a
-   distributed aggregation, which finds the same starts.
+4. An anchor with more than ``GROUP`` different contexts would outgrow a shard. All strings of those that share half their reach with another are hashed
+   instead and counted by a distributed aggregation, which finds the same starts.
 """
 
 from __future__ import annotations
@@ -285,8 +285,18 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["h", "f", "rk", "digest", "p", "q"])
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def _sides(data: bytes, p: int) -> tuple[bytes, bytes]:
+    """The anchor at ``p`` with half of its reach before it, and with half behind it. A string of full length has one of them whole."""
+    half = REACH // 2
+    return data[max(0, p - half) : p + GRAM], data[p : p + GRAM + half]
+
+
 def _context_rows(crowded: bool):
-    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,9 +307,9 @@ def _context_rows(crowded: bool):
                     for r in found:
                         if r["alone"] and r["crowded"] == crowded:
                             s = max(0, r["p"] - REACH)
-                            rows.append((r["h"], data[s : r["p"] + LENGTH], rk, digest, s, r["p"]))
+                            rows.append((r["h"], data[s : r["p"] + LENGTH], rk, digest, s, r["p"], *(_signed(xxhash.xxh64_intdigest(x, r["h"] % (1 << 64))) for x in _sides(data, r["p"]))))
                 for at in range(0, len(rows), 10_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows[at : at + 10_000]), kinds)], ["h", "context", "rk", "digest", "s", "p"])
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows[at : at + 10_000]), kinds)], ["h", "context", "rk", "digest", "s", "p", "before", "behind"])
 
     return run
 
@@ -308,11 +318,9 @@ _SPANS = ["rk", "digest", "a", "b"]
 
 
 def _with_partners(rows: list[tuple]) -> list[tuple]:
-    """Rows of which a string can stand elsewhere: it has half of its reach beyond the anchor on one side, and so shares that side with another context of the anchor."""
-    half = REACH // 2
-    sides = [((h, 0, context[max(0, p - s - half) : p - s + GRAM]), (h, 1, context[p - s : p - s + GRAM + half])) for h, context, _, _, s, p in rows]
-    seen = Counter(x for pair in sides for x in pair)
-    return [r for r, pair in zip(rows, sides) if any(seen[x] > 1 for x in pair)]
+    """Rows of which a string can stand elsewhere: such a string shares one whole side with another context of the anchor."""
+    seen = Counter(x for r in rows for x in ((0, r[5]), (1, r[6])))
+    return [r for r in rows if seen[0, r[5]] > 1 or seen[1, r[6]] > 1]
 
 
 def _shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,10 +397,16 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", group
 
     def contexts(crowded: bool) -> DataFrame:
         some = by_text.where(F.exists("found", lambda r: r["alone"] & (r["crowded"] == F.lit(crowded))))
-        return dealt.join(some, ["rk", "digest"]).select("x", "rk", "digest", "found").mapInArrow(_context_rows(crowded), "h long, context binary, rk long, digest long, s int, p int")
-
-    sorted_spans = contexts(False).repartition("h").sortWithinPartitions("h").mapInArrow(_shard_rows, "rk long, digest long, a long, b long")
-    strings = contexts(True).mapInArrow(_string_rows, "u long, v long, rk long, digest long, a long")
+        return dealt.join(some, ["rk", "digest"]).select("x", "rk", "digest", "found").mapInArrow(_context_rows(crowded), "h long, context binary, rk long, digest long, s int, p int, before long, behind long")
+
+    sorted_spans = contexts(False).drop("p").repartition("h").sortWithinPartitions("h").mapInArrow(_shard_rows, "rk long, digest long, a long, b long")
+    # Of crowded anchors only contexts that share a side with another one go on; sides are counted before their shuffle.
+    crowd = contexts(True)
+    sides = crowd.select(F.explode(F.array(F.struct(F.lit(0).alias("at"), F.col("before").alias("side")), F.struct(F.lit(1).alias("at"), F.col("behind").alias("side")))).alias("x"))
+    shared = sides.groupBy("x.at", "x.side").agg(F.count("*").alias("n")).where("n > 1")
+    left, right = (shared.where(f"at = {k}").select(F.col("side").alias(name), F.lit(True).alias(f"by_{name}")) for k, name in enumerate(("before", "behind")))
+    some = crowd.join(left, "before", "left").join(right, "behind", "left").where("by_before OR by_behind")
+    strings = some.select("h", "context", "rk", "digest", "s").mapInArrow(_string_rows, "u long, v long, rk long, digest long, a long")
     place = F.struct("rk", "digest", "a")
     repeated = strings.groupBy("u", "v").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low != high").select("u", "v")
     counted_spans = strings.join(repeated, ["u", "v"]).select("rk", "digest", "a", (F.col("a") + LENGTH).alias("b"))
