@@ -25,8 +25,10 @@ from lakeloom.llm.common import checkpointed, slices
 LEAST_PAGES, SAME_SHARE = 5, 0.9
 #: Inside an article only short texts can be template.
 SHORT_WORDS = 12
-#: Two lists of children with more pairs than this are aligned greedily in order.
+#: Two lists of children with more pairs than this are halved (Hirschberg), for memory; the assignment is the greatest at every size.
 CELLS = 100_000
+#: So many assignments are kept while two pages are aligned; others are computed again.
+KEPT = 200_000
 #: References of up to so many bytes in all are broadcast; beyond that they are joined by host.
 BROADCAST_BYTES = 32 << 20
 MEMO = 512
@@ -161,21 +163,37 @@ def align(a: Node, b: Node) -> dict[int, Node]:
         own = 1.25 if x.text == y.text else 1.0
         if not x.kids or not y.kids:
             return own
+        return own + solved(x, y)[0]
+
+    def solved(x: Node, y: Node) -> tuple[float, list]:
         key = (x.index, y.index)
-        if key not in memo:
-            memo[key] = assign(x.kids, y.kids)
-        return own + memo[key][0]
+        result = memo.get(key)
+        if result is None:
+            result = assign(x.kids, y.kids)
+            if len(memo) < KEPT:
+                memo[key] = result
+        return result
+
+    def last_row(xs: list[Node], ys: list[Node]) -> list[float]:
+        row = [0.0] * (len(ys) + 1)
+        for x in xs:
+            above, row, left, diagonal = row, [0.0], 0.0, 0.0
+            for y, up in zip(ys, above[1:]):
+                w = match(x, y)
+                best = up if up > left else left
+                if w and diagonal + w > best:
+                    best = diagonal + w
+                row.append(best)
+                left, diagonal = best, up
+        return row
 
     def assign(xs: list[Node], ys: list[Node]) -> tuple[float, list]:
-        if len(xs) * len(ys) > CELLS:
-            total, pairs, j = 0.0, [], 0
-            for x in xs:
-                k = next((k for k in range(j, min(j + 64, len(ys))) if ys[k].label == x.label), None)
-                if k is not None:
-                    total += match(x, ys[k])
-                    pairs.append((x, ys[k]))
-                    j = k + 1
-            return total, pairs
+        if len(xs) * len(ys) > CELLS and len(xs) > 1:
+            half = len(xs) // 2
+            before, after = last_row(xs[:half], ys), last_row(xs[half:][::-1], ys[::-1])
+            at = max(range(len(ys) + 1), key=lambda k: before[k] + after[-1 - k])
+            (total, pairs), (more, others) = assign(xs[:half], ys[:at]), assign(xs[half:], ys[at:])
+            return total + more, others + pairs
         width = len(ys) + 1
         rows = [[0.0] * width]
         for x in xs:
@@ -207,9 +225,7 @@ def align(a: Node, b: Node) -> dict[int, Node]:
         x, y = todo.pop()
         found[x.index] = y
         if x.kids and y.kids:
-            if (x.index, y.index) not in memo:
-                match(x, y)
-            todo.extend(memo[x.index, y.index][1])
+            todo.extend(solved(x, y)[1])
     return found
 
 

@@ -67,3 +67,24 @@ def test_extract(spark):
 
 def test_empty(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_long_lists_are_aligned_exactly():
+    notice = "<div>All content belongs to the owners.</div></body>"
+    a, b = (html.parse("<body>" + "".join(f"<p>{k} {i}</p>" for i in range(n)) + notice) for k, n in (("a", 400), ("b", 500)))
+    twins = html.align(a, b)
+    assert len(twins) == 403 and next(twins[n.index].label for n in html.nodes(a) if n.tag == "div") == "div"
+    random.seed(8)
+    make = lambda n: "<body>" + "".join(f"<{t}>{'<p>x' * random.randrange(3)}</{t}>" for t in random.choices(["div", "ul", "dl", "section"], k=n)) + "</body>"
+    for n, m in ((330, 340), (2, 60_000), (700, 200)):
+        a, b = html.parse(make(n)), html.parse(make(m))
+        pairs = html.align(a, b)
+        weight, row = {}, [0] * (len(b.kids[0].kids) + 1)
+        for x in a.kids[0].kids:
+            above, row = row, [0]
+            for j, y in enumerate(b.kids[0].kids):
+                key = (x.label, y.label, len(x.kids), len(y.kids))
+                w = weight.setdefault(key, 1.25 + 1.25 * min(len(x.kids), len(y.kids)) if x.label == y.label else 0)
+                row.append(max(above[j + 1], row[-1], above[j] + w))
+        assert sum(1.25 if y.text == x.text else 1 for x in html.nodes(a) if (y := pairs.get(x.index))) == row[-1] + 2.5
+        assert len({y.index for y in pairs.values()}) == len(pairs)
