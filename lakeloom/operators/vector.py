@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions.vectors import DISTANCES, literal
 
+#: About so many queries are broadcast at once.
+QUERY_BLOCK = 4096
+
 
 def nearest(df: DataFrame, vector: str, query: list[float], k: int, metric: str = "l2", ties: list[str] | None = None) -> DataFrame:
     """The ``k`` rows nearest to one vector, with ``distance``. Each task keeps its own k before they meet."""
@@ -15,8 +20,13 @@ def nearest(df: DataFrame, vector: str, query: list[float], k: int, metric: str
 
 
 def nearest_of_each(df: DataFrame, queries: DataFrame, vector: str, key: str, query_key: str, k: int, metric: str = "l2") -> DataFrame:
-    """The ``k`` nearest rows of each row of ``queries``, a stated set of bounded size (it is broadcast)."""
+    """The ``k`` nearest rows of each row of ``queries``, which are broadcast in blocks. For ``k`` up to Spark's window group limit each task keeps its own k of a query before the shuffle."""
     q = queries.select(F.col(query_key).alias("query_id"), F.col(vector).alias("_query"))
-    pairs = df.crossJoin(F.broadcast(q)).select("query_id", key, DISTANCES[metric](F.col(vector), F.col("_query")).alias("distance"))
     w = Window.partitionBy("query_id").orderBy("distance", key)
-    return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    found = []
+    for i in range(blocks):
+        block = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else q
+        pairs = df.crossJoin(F.broadcast(block)).select("query_id", key, DISTANCES[metric](F.col(vector), F.col("_query")).alias("distance"))
+        found.append(pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k))
+    return reduce(DataFrame.unionAll, found)
