@@ -6,6 +6,9 @@ within ``GAP`` of the next are merged, which lets a few words be added or left o
 covers must be ``COVER`` of the template's, in at most ``STRETCH`` times its length. Phrases of the base rule are templates too; a
 place of theirs is a diagonal on which all their pairs stand.
 
+Texts are read and cut into words once. Each text has one place more, before its first word, that joins a row of the template table of its
+own; so a text without hits, and every text's number of words, come out of the same join.
+
 The templates are a fixed table of a few hundred pairs, so broadcasting them is bounded whatever the documents are.
 """
 
@@ -13,11 +16,16 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP, COVER, STRETCH = 2, 0.75, 1.6
+#: The template number of the place before a text's first word.
+OPENING = -1
+#: What WORD leaves out, and the capitals: each becomes a space or the small letter.
+_CAPITALS = "".join(map(chr, range(0x41, 0x5B)))
+_APART = "".join(chr(c) for c in range(0x80) if not re.match("[0-9A-Za-z]", chr(c)))
 
 # The base rule's phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -45,52 +53,59 @@ TEMPLATES = (
 
 
 def words_of(text: Column) -> Column:
-    """The words of a text. Only A-Z matter of what ``lower`` changes: no other letter becomes one of a phrase's, and words keep their ends."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """The words of a text (``WORD`` after A-Z are lower-cased), by one pass over its characters."""
+    spaced = F.translate(F.coalesce(text, F.lit("")), _APART + _CAPITALS, " " * len(_APART) + _CAPITALS.lower())
+    return F.array_remove(F.split(spaced, " ", -1), "")
 
 
 def template_pairs(spark: SparkSession, base=BASE, templates=TEMPLATES) -> DataFrame:
-    """(tpl, label, is_base, pairs, tpos, t1, t2): the word pairs of all templates."""
-    rows = []
+    """(tpl, label, is_base, pairs, tpos, t1, t2, pair): the word pairs of all templates, and the row of ``OPENING``."""
+    rows = [f"({OPENING}, '', false, 0, 0, '', '', 0L)"]
     for n, (is_base, label, text) in enumerate([(True, label, phrase) for phrase, label in base] + [(False, *x) for x in templates]):
         words = re.findall("[0-9a-z]+", text)
-        rows += [f"({n}, '{label}', {str(is_base).lower()}, {len(words) - 1}, {i}, '{a}', '{b}')" for i, (a, b) in enumerate(zip(words, words[1:]))]
-    return spark.sql("SELECT *, xxhash64(t1, t2) AS pair FROM VALUES " + ", ".join(rows) + " AS t(tpl, label, is_base, pairs, tpos, t1, t2)")
+        rows += [f"({n}, '{label}', {str(is_base).lower()}, {len(words) - 1}, {i}, '{a}', '{b}', xxhash64('{a}', '{b}'))" for i, (a, b) in enumerate(zip(words, words[1:]))]
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(rows) + " AS t(tpl, label, is_base, pairs, tpos, t1, t2, pair)")
 
 
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text", base=BASE, templates=TEMPLATES) -> DataFrame:
     """One row for each row of ``df``: ``key``, ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``, ``labels`` and ``score``.
 
     ``score`` is 1 where the base rule holds, else the greatest covered share of an accepted span, else 0. Null and wordless texts have no words and no labels.
-    Rows that repeat in key and text have equal results each.
+    Rows that repeat in key and text have equal results each. Labels that tie in score are all listed. Other columns of ``df``, whatever their names, are not read.
     """
-    rows = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("x"))
-    keyed = rows.select("id", F.xxhash64("x").alias("digest"), words_of(F.col("x")).alias("words"))
-    places = keyed.where(F.size("words") > 1).select("id", "digest", "words", F.explode(F.sequence(F.lit(0), F.size("words") - 2)).alias("wpos"))
-    pairs = places.select("id", "digest", "wpos", F.col("words")[F.col("wpos")].alias("w1"), F.col("words")[F.col("wpos") + 1].alias("w2"))
+    rows = df.select(F.col(f"`{key}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("digest"), words_of(F.col(f"`{text}`")).alias("words"))
+    places = rows.select("id", "digest", "words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)))).alias("i"))
+    w1, w2, opening = F.get("words", F.col("i") - 1), F.get("words", F.col("i")), F.col("i") == 0
+    pairs = places.select("id", "digest", F.size("words").alias("n_words"), F.col("i"), w1.alias("w1"), w2.alias("w2"), F.when(opening, F.lit(0)).otherwise(F.xxhash64(w1, w2)).alias("own"))
     known = F.broadcast(template_pairs(df.sparkSession, base, templates))
-    hits = pairs.join(known, (F.xxhash64("w1", "w2") == F.col("pair")) & (F.col("w1") == F.col("t1")) & (F.col("w2") == F.col("t2")))
+    hits = pairs.join(known, (F.col("own") == F.col("pair")) & (opening & (F.col("tpl") == OPENING) | (F.col("w1") == F.col("t1")) & (F.col("w2") == F.col("t2"))))
     template = ["id", "digest", "tpl", "label", "is_base", "pairs"]
-    diagonals = hits.groupBy(*template, (F.col("wpos") - F.col("tpos")).alias("diagonal")).agg(F.collect_set("tpos").alias("covered"), F.min("wpos").alias("low"), F.max("wpos").alias("high"))
-    diagonals.createOrReplaceTempView("_license_diagonals")
-    merged = df.sparkSession.sql(f"""
-        SELECT *, sum(apart) OVER (PARTITION BY id, digest, tpl ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS cluster
-        FROM (SELECT *, CASE WHEN is_base OR diagonal - lag(diagonal) OVER (PARTITION BY id, digest, tpl ORDER BY diagonal) <= {GAP} AND NOT is_base THEN CAST(is_base AS INT) ELSE 1 END AS apart
-              FROM _license_diagonals)""")
-    spans = merged.groupBy(*template, "cluster").agg(F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("n"), F.min("low").alias("low"), (F.max("high") + 2 - F.min("low")).alias("length"), F.min("diagonal").alias("start"))
-    found = spans.select(*template, "start", (F.col("n") / F.col("pairs")).alias("share"), "length").where(F.when(F.col("is_base"), F.col("share") == 1).otherwise((F.col("share") >= COVER) & (F.col("length") <= STRETCH * (F.col("pairs") + 1))))
-    is_base = F.col("is_base")
+    wpos = F.col("i") - 1
+    diagonals = hits.groupBy(*template, (wpos - F.col("tpos")).alias("diagonal")).agg(F.collect_set("tpos").alias("covered"), F.min(wpos).alias("low"), F.max(wpos).alias("high"), F.max("n_words").alias("n_words"), F.count("*").alias("hits"))
+    along = Window.partitionBy("id", "digest", "tpl").orderBy("diagonal")
+    is_base, is_text = F.col("is_base"), F.col("tpl") == OPENING
+    near = ~is_base & (F.col("diagonal") - F.lag("diagonal").over(along) <= GAP)
+    merged = diagonals.withColumn("apart", F.when(near, 0).otherwise(1)).withColumn("cluster", F.sum("apart").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = merged.groupBy(*template, "cluster").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("n"),
+        (F.max("high") + 2 - F.min("low")).alias("length"),
+        F.min("diagonal").alias("start"),
+        F.max("n_words").alias("n_words"),
+        F.max("hits").alias("hits"),
+    )
+    share = F.when(~is_text, F.col("n") / F.col("pairs"))
+    holds = F.when(is_base, F.col("share") == 1).otherwise((F.col("share") >= COVER) & (F.col("length") <= STRETCH * (F.col("pairs") + 1)))
+    found = spans.withColumn("share", share).where(is_text | holds)
     result = found.groupBy("id", "digest").agg(
+        F.max(F.when(is_text, F.col("hits"))).alias("rows"),
+        F.max(F.when(is_text, F.col("n_words"))).cast("long").alias("n_words"),
         F.count_if(is_base).alias("n_base"),
-        F.min(F.when(is_base, F.col("start"))).alias("first_word"),
-        F.max(F.when(is_base, F.col("start"))).alias("last_word"),
+        F.min(F.when(is_base, F.col("start"))).cast("long").alias("first_word"),
+        F.max(F.when(is_base, F.col("start"))).cast("long").alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(F.when(is_base, F.col("label")))), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
-        F.max("share").alias("score"),
+        F.array_join(F.array_sort(F.collect_set(F.when(~is_text, F.col("label")))), ",").alias("labels"),
+        F.coalesce(F.max("share"), F.lit(0.0)).alias("score"),
     )
-    sizes = keyed.select(F.col("id").alias("own"), F.col("digest").alias("own_digest"), F.size("words").cast("long").alias("n_words"))
-    joined = sizes.join(result, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_digest") == F.col("digest")), "left")
-    return joined.select(
-        F.col("own").alias(key), "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"),
-        F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).cast("double").alias("score"),
-    )
+    # As many rows as the table has of this key and text.
+    each = result.select("*", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("copy"))
+    return each.select(F.col("id").alias(key), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
