@@ -11,28 +11,35 @@ what can match, not over arbitrary cuts of the corpus:
    and named, their order is resolved (by prefix doubling of the names in place of deeper recursion) and all suffixes are induced from it. Induction runs bucket by bucket in
    waves, each one a numpy operation, which is linear in the shard. Common prefixes of neighbours are kept by text position,
    and starts whose common prefix reaches 200 with a string at another place are duplicates.
-4. An anchor with more than ``GROUP`` different contexts would outgrow a shard. All strings of those that share half their reach with another are hashed
-   instead and counted by a distributed aggregation, which finds the same starts.
+4. An anchor with more than ``GROUP`` different contexts would outgrow a shard. A repeated string holds a number of bytes, from 0 to ``REACH``, before
+   its anchor. These numbers are cut into ranges (``PARTS``); strings of a range all hold the bytes from the range's least number before the anchor to what the
+   greatest leaves behind it. Contexts with these bytes in common make up a smaller group, which goes into a shard in its turn; groups that
+   are still too large are cut further, at last into single numbers, where the strings themselves are equal. No pair is lost on the way.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeloom.llm.common import slices
+from lakeloom.llm.common import Scratch, checkpointed, slices
 
 LENGTH, GRAM = 200, 48
 REACH = LENGTH - GRAM
 GROUP = 8192
+#: In so many ranges those of a too large group are cut, step by step; after the last step each is one number.
+PARTS = (2, 4, 20)
 SHARD_BYTES = 3 << 20
+#: Up to so many hashes are broadcast.
+BROADCAST_ROWS = 1_000_000
 BLOCK = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -295,21 +302,62 @@ def _sides(data: bytes, p: int) -> tuple[bytes, bytes]:
     return data[max(0, p - half) : p + GRAM], data[p : p + GRAM + half]
 
 
-def _context_rows(crowded: bool):
-    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+_CONTEXT = "h long, context binary, rk long, digest long, s int, before long, behind long"
+_CROWD = "context binary, rk long, digest long, s int, p int, lo int, hi int"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+
+
+def _wanted(batches: Iterator[pa.RecordBatch], crowded: bool) -> Iterator[tuple[bytes, int, int, dict]]:
+    for batch in batches:
+        for part in slices(batch, "x", 1 << 20):
+            for x, rk, digest, found in zip(*(part.column(i).to_pylist() for i in range(4))):
+                data = x.encode()
+                for r in found:
+                    if r["alone"] and r["crowded"] == crowded:
+                        yield data, rk, digest, r
+
+
+def _in_batches(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    while held := list(islice(rows, 10_000)):
+        yield _batch(held, names, kinds)
+
+
+def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = (
+        (r["h"], data[max(0, r["p"] - REACH) : r["p"] + LENGTH], rk, digest, max(0, r["p"] - REACH), *(_signed(xxhash.xxh64_intdigest(x, r["h"] % (1 << 64))) for x in _sides(data, r["p"])))
+        for data, rk, digest, r in _wanted(batches, False)
+    )
+    yield from _in_batches(rows, ["h", "context", "rk", "digest", "s", "before", "behind"], [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()])
+
+
+def _crowd_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = ((data[max(0, r["p"] - REACH) : r["p"] + LENGTH], rk, digest, max(0, r["p"] - REACH), r["p"], 0, REACH) for data, rk, digest, r in _wanted(batches, True))
+    yield from _in_batches(rows, ["context", "rk", "digest", "s", "p", "lo", "hi"], [pa.binary(), pa.int64(), pa.int64(), *[pa.int32()] * 4])
+
+
+def ranges(lo: int, hi: int, parts: int) -> list[tuple[int, int]]:
+    """At most ``parts`` ranges that make up the numbers from ``lo`` to ``hi``."""
+    step = -(-(hi - lo + 1) // parts)
+    return [(a, min(hi, a + step - 1)) for a in range(lo, hi + 1, step)]
+
+
+def _narrowed(parts: int):
+    """For each range of a context's, its row with two hashes of the bytes that all strings of the range hold, if the context has them."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for part in slices(batch, "x", 1 << 20):
-                rows = []
-                for x, rk, digest, found in zip(*(part.column(i).to_pylist() for i in range(4))):
-                    data = x.encode()
-                    for r in found:
-                        if r["alone"] and r["crowded"] == crowded:
-                            s = max(0, r["p"] - REACH)
-                            rows.append((r["h"], data[s : r["p"] + LENGTH], rk, digest, s, r["p"], *(_signed(xxhash.xxh64_intdigest(x, r["h"] % (1 << 64))) for x in _sides(data, r["p"]))))
-                for at in range(0, len(rows), 10_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows[at : at + 10_000]), kinds)], ["h", "context", "rk", "digest", "s", "p", "before", "behind"])
+            for context, rk, digest, s, p, low, high in zip(*(c.to_pylist() for c in batch.columns)):
+                for lo, hi in ranges(low, high, parts):
+                    a, b = p - s - lo, p - s + LENGTH - hi
+                    if a >= 0 and b <= len(context):
+                        d = xxhash.xxh128_digest(context[a:b], lo)
+                        yield int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), context, rk, digest, s, p, lo, hi
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _in_batches(rows(batches), ["h", "other", "context", "rk", "digest", "s", "p", "lo", "hi"], [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), *[pa.int32()] * 4])
 
     return run
 
@@ -347,15 +395,6 @@ def _shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(held)
 
 
-def _string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two hashes of every string of a context."""
-    for batch in batches:
-        for context, rk, digest, s in zip(*(c.to_pylist() for c in batch.columns[1:5])):
-            rows = [(int.from_bytes((d := xxhash.xxh128_digest(context[i : i + LENGTH]))[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), rk, digest, s + i) for i in range(len(context) - LENGTH + 1)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows)], ["u", "v", "rk", "digest", "a"])
-
-
 def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "x"):
@@ -388,34 +427,52 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", group
     own = texts.distinct().join(chosen, ["digest", "other"]).select("rk", "digest", "copies", (F.col("rk") == F.col("acting")).alias("acts"))
     dealt = rows.repartition("rk", "digest")  # the only time that texts move
     acting = dealt.join(own.where("acts"), ["rk", "digest"])
-    acting.select("x", "rk", "digest").mapInArrow(_anchor_rows, "h long, f long, rk long, digest long, p int, q int").createOrReplaceTempView("_anchor_places")
-    spark.sql("""
-        SELECT *, sum(IF(q > p, 2, 1)) OVER (PARTITION BY h) AS n_h, sum(IF(q > p, 2, 1)) OVER (PARTITION BY h, f) AS n_f, row_number() OVER (PARTITION BY h, f ORDER BY rk, digest, p) AS nth
-        FROM _anchor_places""").where("n_h > 1").createOrReplaceTempView("_anchor_counts")
-    marked = spark.sql("SELECT h, rk, digest, p, q, n_f > 1 AS equal, nth = 1 AND n_h > n_f AS alone, sum(CAST(nth = 1 AS INT)) OVER (PARTITION BY h) AS contexts FROM _anchor_counts").where("equal OR alone")
+    found = acting.select("x", "rk", "digest").mapInArrow(_anchor_rows, "h long, f long, rk long, digest long, p int, q int")
+    rows_of = F.when(F.col("q") > F.col("p"), 2).otherwise(1)
+    of_anchor, of_context = Window.partitionBy("h"), Window.partitionBy("h", "f")
+    counted = found.select("*", F.sum(rows_of).over(of_anchor).alias("n_h"), F.sum(rows_of).over(of_context).alias("n_f"), F.row_number().over(of_context.orderBy("rk", "digest", "p")).alias("nth")).where("n_h > 1")
+    marked = counted.select("h", "rk", "digest", "p", "q", (F.col("n_f") > 1).alias("equal"), ((F.col("nth") == 1) & (F.col("n_h") > F.col("n_f"))).alias("alone"), F.sum((F.col("nth") == 1).cast("int")).over(of_anchor).alias("contexts"))
+    marked = marked.where("equal OR alone")
     by_text = marked.groupBy("rk", "digest").agg(F.collect_list(F.struct("p", "q", "h", "equal", "alone", (F.col("contexts") > group).alias("crowded"))).alias("found"))
 
-    def contexts(crowded: bool) -> DataFrame:
+    def places(crowded: bool) -> DataFrame:
         some = by_text.where(F.exists("found", lambda r: r["alone"] & (r["crowded"] == F.lit(crowded))))
-        return dealt.join(some, ["rk", "digest"]).select("x", "rk", "digest", "found").mapInArrow(_context_rows(crowded), "h long, context binary, rk long, digest long, s int, p int, before long, behind long")
-
-    sorted_spans = contexts(False).drop("p").repartition("h").sortWithinPartitions("h").mapInArrow(_shard_rows, "rk long, digest long, a long, b long")
-    # Of crowded anchors only contexts that share a side with another one go on; sides are counted before their shuffle.
-    crowd = contexts(True)
-    sides = crowd.select(F.explode(F.array(F.struct(F.lit(0).alias("at"), F.col("before").alias("side")), F.struct(F.lit(1).alias("at"), F.col("behind").alias("side")))).alias("x"))
-    shared = sides.groupBy("x.at", "x.side").agg(F.count("*").alias("n")).where("n > 1")
-    left, right = (shared.where(f"at = {k}").select(F.col("side").alias(name), F.lit(True).alias(f"by_{name}")) for k, name in enumerate(("before", "behind")))
-    some = crowd.join(left, "before", "left").join(right, "behind", "left").where("by_before OR by_behind")
-    strings = some.select("h", "context", "rk", "digest", "s").mapInArrow(_string_rows, "u long, v long, rk long, digest long, a long")
-    place = F.struct("rk", "digest", "a")
-    repeated = strings.groupBy("u", "v").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low != high").select("u", "v")
-    counted_spans = strings.join(repeated, ["u", "v"]).select("rk", "digest", "a", (F.col("a") + LENGTH).alias("b"))
-    more = sorted_spans.unionByName(counted_spans).groupBy("rk", "digest").agg(F.collect_set(F.struct("a", "b")).alias("more"))
+        return dealt.join(some, ["rk", "digest"]).select("x", "rk", "digest", "found")
+
+    groups, equal = _from_crowds(places(True).mapInArrow(_crowd_rows, _CROWD), group, Scratch(spark))
+    contexts = places(False).mapInArrow(_context_rows, _CONTEXT)
+    for part in groups:
+        contexts = contexts.unionByName(part)
+    sorted_spans = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_shard_rows, "rk long, digest long, a long, b long")
+    more = (sorted_spans if equal is None else sorted_spans.unionByName(equal)).groupBy("rk", "digest").agg(F.collect_set(F.struct("a", "b")).alias("more"))
     joined = dealt.join(own.select("rk", "digest", "copies"), ["rk", "digest"], "left").join(by_text, ["rk", "digest"], "left").join(more, ["rk", "digest"], "left")
     schema = T.StructType([T.StructField("id", df.schema[key].dataType), *T._parse_datatype_string("n_bytes long, kept binary, gone array<struct<start: long, stop: long>>").fields])
     return joined.select("id", "x", "copies", "found", "more").mapInArrow(_kept_rows, schema).withColumnRenamed("id", key)
 
 
+def _from_crowds(crowd: DataFrame, group: int, scratch: Scratch) -> tuple[list[DataFrame], DataFrame | None]:
+    """The contexts of crowded anchors in groups of at most ``group``, and the (rk, digest, a, b) of equal strings that are more than that."""
+    crowd = scratch.keep("crowd", crowd)
+    groups: list[DataFrame] = []
+    for k, parts in enumerate(PARTS):
+        if crowd.isEmpty():
+            return groups, None
+        narrowed = crowd.mapInArrow(_narrowed(parts), "h long, other long, " + _CROWD)
+        # Counted before the shuffle, so a large group is no task of its own.
+        shared = checkpointed(narrowed.groupBy("h", "other").agg(F.count("*").alias("n")).where("n > 1"))
+        size = F.broadcast if shared.count() <= BROADCAST_ROWS else (lambda df: df)
+        groups.append(narrowed.join(size(shared.where(F.col("n") <= group)), ["h", "other"]).select("h", "context", "rk", "digest", "s", F.col("h").alias("before"), F.col("h").alias("behind")))
+        large = shared.where(F.col("n") > group)
+        if k < len(PARTS) - 1:
+            crowd = scratch.keep(f"crowd-{k}", narrowed.join(size(large), ["h", "other"]).select(*crowd.columns))
+    # Of the last groups all strings are the same; contexts of one text may hold one at the same place.
+    at = F.col("p") - F.col("lo")
+    place = F.struct("rk", "digest", at.alias("a"))
+    strings = narrowed.join(size(large.select("h", "other")), ["h", "other"])
+    several = checkpointed(strings.groupBy("h", "other").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low != high").select("h", "other"))
+    return groups, strings.join(size(several), ["h", "other"]).select("rk", "digest", at.cast("long").alias("a"), (at + LENGTH).cast("long").alias("b"))
+
+
 def digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256`` of what ``remove_repeats`` gives."""
     return remove_repeats(df, key, text).select(F.col(key), "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("gone").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

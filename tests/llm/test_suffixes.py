@@ -40,7 +40,7 @@ def brute(texts):
     return out
 
 
-@pytest.mark.parametrize("group", [suffixes.GROUP, 1])
+@pytest.mark.parametrize("group", [suffixes.GROUP, 4, 1])
 def test_repeats(spark, group, monkeypatch):
     random.seed(9)
     say = lambda n: "".join(random.choices("abcde  éß\0\n", k=n))
@@ -70,3 +70,10 @@ def test_random_texts_in_blocks(monkeypatch):
 
 def test_empty(spark):
     assert suffixes.digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_last_ranges_are_single_numbers():
+    found = [(0, suffixes.REACH)]
+    for parts in suffixes.PARTS:
+        found = [r for lo, hi in found for r in suffixes.ranges(lo, hi, parts)]
+    assert found == [(i, i) for i in range(suffixes.REACH + 1)]
