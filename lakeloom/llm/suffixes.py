@@ -4,7 +4,7 @@ Every byte that lies in a ``LENGTH``-byte (200) string which also starts anywher
 what can match, not over arbitrary cuts of the corpus:
 
 1. In each text, the least hash of the ``GRAM``-byte windows within a 200-byte string is its anchor, so equal strings have equal anchors at
-   equal offsets. An anchor's context are the bytes that strings with this anchor can reach. Of equal texts one takes part; the rest follows it.
+   equal offsets. An anchor's context are the bytes of the strings with this anchor. Of equal texts one takes part; the rest follows it.
 2. Anchors are dealt out by hash. A hash that occurs once ends here. Equal contexts are duplicates throughout; different contexts under
    one hash go, one of each, into the shard of that hash.
 3. A shard's contexts are joined to one string and sorted: suffixes are classified, leftmost smaller (LMS) substrings are sorted by induction
@@ -26,6 +26,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +42,8 @@ SHARD_BYTES = 3 << 20
 #: Up to so many hashes are broadcast.
 BROADCAST_ROWS = 1_000_000
 BLOCK = 1 << 20
+#: Common prefixes are measured in steps of so many bytes, which are compared by 64-bit hashes.
+WINDOW = 40
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -72,18 +75,27 @@ def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
     return best(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchors of a text of at least ``LENGTH`` bytes, in blocks."""
-    at, hashes = [], []
+def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and hashes of the anchors of a text of at least ``LENGTH`` bytes, and the first and last starts of the strings that each is the anchor of; in blocks."""
+    found: list[list[np.ndarray]] = [[], [], [], []]
+    back = np.arange(REACH + 1) - REACH
     for start in range(0, len(data) - LENGTH + 1, BLOCK):
         h = gram_hashes(data[start : start + BLOCK + LENGTH - 1])
         low = _sliding(h, REACH + 1, np.minimum)
         edge = np.zeros(REACH, np.uint64)
-        chosen = np.flatnonzero(_sliding(np.r_[edge, low, edge], REACH + 1, np.maximum) == h)
-        at.append(chosen + start)
-        hashes.append(h[chosen])
-    at, first = np.unique(np.concatenate(at), return_index=True)
-    return at, np.concatenate(hashes)[first]
+        padded = np.r_[edge, low, edge]
+        chosen = np.flatnonzero(_sliding(padded, REACH + 1, np.maximum) == h)
+        # The strings that hold an anchor and nothing less start in one run.
+        own = sliding_window_view(padded, REACH + 1)[chosen] == h[chosen, None]
+        own &= (chosen[:, None] + back >= 0) & (chosen[:, None] + back < len(low))
+        first, last = own.argmax(axis=1) - REACH, -own[:, ::-1].argmax(axis=1)
+        for column, values in zip(found, (chosen, h[chosen], chosen + first, chosen + last)):
+            column.append(values if values.dtype == np.uint64 else values + start)
+    at, h, first, last = map(np.concatenate, found)
+    # An anchor near the end of a block is one of the next block too.
+    order = np.argsort(at, kind="stable")
+    new = np.flatnonzero(np.r_[True, np.diff(at[order]) > 0])
+    return at[order][new], h[order][new], np.minimum.reduceat(first[order], new), np.maximum.reduceat(last[order], new)
 
 
 # --- suffix arrays ---
@@ -203,6 +215,19 @@ def suffix_array(s: np.ndarray, alphabet: int, depth: int | None = None) -> np.n
     return _induce(s, is_s, exact, alphabet)
 
 
+def block_hashes(data: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every ``WINDOW`` bytes: eight of them are read as a number, and the numbers are mixed."""
+    eight = np.zeros(len(data) - 7, np.uint64)
+    for i in range(8):
+        eight |= data[i : len(data) - 7 + i].astype(np.uint64) << np.uint64(8 * i)
+    out = np.zeros(len(data) - WINDOW + 1, np.uint64)
+    for i in range(0, WINDOW, 8):
+        out ^= eight[i : i + len(out)]
+        out *= np.uint64(0xD6E8FEB86659FD93)
+        out ^= out >> np.uint64(32)
+    return out
+
+
 def repeated_starts(contexts: list[bytes], place: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
     """For each context the offsets of its ``LENGTH``-byte strings that also start at another place.
 
@@ -228,15 +253,13 @@ def repeated_starts(contexts: list[bytes], place: np.ndarray, first: np.ndarray)
     order = order[starts[order]]
     if len(order) < 2:
         return [np.zeros(0, np.int64) for _ in contexts]
-    eight = np.zeros(len(data) - 7, np.uint64)
-    for i in range(8):
-        eight |= data[i : len(data) - 7 + i].astype(np.uint64) << np.uint64(8 * i)
+    window = block_hashes(data)
     a, b = order[:-1], order[1:]
     live = np.arange(len(a))
     permuted = np.zeros(n, np.int64)  # at each start: the common prefix with its predecessor, in whole steps up to LENGTH
-    for step in range(0, LENGTH, 8):
-        live = live[eight[a[live] + step] == eight[b[live] + step]]
-        permuted[b[live]] = step + 8
+    for step in range(0, LENGTH, WINDOW):
+        live = live[window[a[live] + step] == window[b[live] + step]]
+        permuted[b[live]] = step + WINDOW
     group = np.flatnonzero(np.r_[True, permuted[b] < LENGTH])
     where = (place[context[order]].astype(np.int64) << 40) + first[context[order]] + offset[order]
     several = np.minimum.reduceat(where, group) != np.maximum.reduceat(where, group)
@@ -268,28 +291,33 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 # --- distributed steps ---
 
 
-def _runs(at: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last positions of runs of equal contexts whose contexts touch: periodic text gives a row for each period, not for each place."""
-    order = np.lexsort((at, f))
-    a, g = at[order], f[order]
-    new = np.r_[True, (g[1:] != g[:-1]) | (a[1:] - a[:-1] > REACH + LENGTH)]
-    first = np.flatnonzero(new)
-    return order[first], a[np.r_[first[1:], len(a)] - 1]
+def _runs(first: np.ndarray, end: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first ones of runs of equal contexts that touch, and where the last ones end: periodic text gives a row for each period, not for each place."""
+    order = np.lexsort((first, f))
+    a, b, g = first[order], end[order], f[order]
+    new = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (a[1:] > b[:-1])])
+    return order[new], b[np.r_[new[1:], len(a)] - 1]
+
+
+_PLACES = "h long, f long, rk long, digest long, p int, a int, b int, z int"
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors (h at p), their contexts (hash f, bytes a to b) and where the last of a run of equal contexts ends (z)."""
     for batch in batches:
         for part in slices(batch, "x", 4 << 20):
-            columns: list[list] = [[], [], [], [], [], []]
+            columns: list[list] = [[] for _ in range(8)]
             for x, rk, digest in zip(*(part.column(i).to_pylist() for i in range(3))):
                 data = x.encode()
-                at, h = anchors(np.frombuffer(data, np.uint8))
-                f = np.array([xxhash.xxh64_intdigest(data[max(0, p - REACH) : p + LENGTH], min(p, REACH)) for p in at.tolist()], np.uint64)
-                first, last = _runs(at, f)
-                for column, values in zip(columns, (h[first].view(np.int64), f[first].view(np.int64), np.full(len(first), rk, np.int64), np.full(len(first), digest, np.int64), at[first].astype(np.int32), last.astype(np.int32))):
+                at, h, first, last = anchors(np.frombuffer(data, np.uint8))
+                end = last + LENGTH
+                f = np.array([xxhash.xxh64_intdigest(data[a:b], p - a) for p, a, b in zip(at.tolist(), first.tolist(), end.tolist())], np.uint64)
+                one, z = _runs(first, end, f)
+                rows = (h[one].view(np.int64), f[one].view(np.int64), np.full(len(one), rk, np.int64), np.full(len(one), digest, np.int64), at[one], first[one], end[one], z)
+                for column, values in zip(columns, (*rows[:4], *(r.astype(np.int32) for r in rows[4:]))):
                     column.append(values)
             if columns[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["h", "f", "rk", "digest", "p", "q"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["h", "f", "rk", "digest", "p", "a", "b", "z"])
 
 
 def _signed(x: int) -> int:
@@ -327,14 +355,14 @@ def _in_batches(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType
 
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = (
-        (r["h"], data[max(0, r["p"] - REACH) : r["p"] + LENGTH], rk, digest, max(0, r["p"] - REACH), *(_signed(xxhash.xxh64_intdigest(x, r["h"] % (1 << 64))) for x in _sides(data, r["p"])))
+        (r["h"], data[r["a"] : r["b"]], rk, digest, r["a"], *(_signed(xxhash.xxh64_intdigest(x, r["h"] % (1 << 64))) for x in _sides(data, r["p"])))
         for data, rk, digest, r in _wanted(batches, False)
     )
     yield from _in_batches(rows, ["h", "context", "rk", "digest", "s", "before", "behind"], [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()])
 
 
 def _crowd_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = ((data[max(0, r["p"] - REACH) : r["p"] + LENGTH], rk, digest, max(0, r["p"] - REACH), r["p"], 0, REACH) for data, rk, digest, r in _wanted(batches, True))
+    rows = ((data[r["a"] : r["b"]], rk, digest, r["a"], r["p"], 0, REACH) for data, rk, digest, r in _wanted(batches, True))
     yield from _in_batches(rows, ["context", "rk", "digest", "s", "p", "lo", "hi"], [pa.binary(), pa.int64(), pa.int64(), *[pa.int32()] * 4])
 
 
@@ -404,7 +432,7 @@ def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if copies is not None and copies > 1:
                     gone = [(0, len(data))]
                 else:
-                    gone = [(max(0, r["p"] - REACH), min(len(data), r["q"] + LENGTH)) for r in found or () if r["equal"]]
+                    gone = [(r["a"], r["z"]) for r in found or () if r["equal"]]
                     gone = merged(gone + [(r["a"], r["b"]) for r in more or ()])
                 edges = [0, *(e for span in gone for e in span), len(data)]
                 kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
@@ -427,19 +455,22 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", group
     own = texts.distinct().join(chosen, ["digest", "other"]).select("rk", "digest", "copies", (F.col("rk") == F.col("acting")).alias("acts"))
     dealt = rows.repartition("rk", "digest")  # the only time that texts move
     acting = dealt.join(own.where("acts"), ["rk", "digest"])
-    found = acting.select("x", "rk", "digest").mapInArrow(_anchor_rows, "h long, f long, rk long, digest long, p int, q int")
-    rows_of = F.when(F.col("q") > F.col("p"), 2).otherwise(1)
+    found = acting.select("x", "rk", "digest").mapInArrow(_anchor_rows, _PLACES)
+    rows_of = F.when(F.col("z") > F.col("b"), 2).otherwise(1)
     of_anchor, of_context = Window.partitionBy("h"), Window.partitionBy("h", "f")
     counted = found.select("*", F.sum(rows_of).over(of_anchor).alias("n_h"), F.sum(rows_of).over(of_context).alias("n_f"), F.row_number().over(of_context.orderBy("rk", "digest", "p")).alias("nth")).where("n_h > 1")
-    marked = counted.select("h", "rk", "digest", "p", "q", (F.col("n_f") > 1).alias("equal"), ((F.col("nth") == 1) & (F.col("n_h") > F.col("n_f"))).alias("alone"), F.sum((F.col("nth") == 1).cast("int")).over(of_anchor).alias("contexts"))
+    marked = counted.select("h", "rk", "digest", "p", "a", "b", "z", (F.col("n_f") > 1).alias("equal"), ((F.col("nth") == 1) & (F.col("n_h") > F.col("n_f"))).alias("alone"), F.sum((F.col("nth") == 1).cast("int")).over(of_anchor).alias("contexts"))
     marked = marked.where("equal OR alone")
-    by_text = marked.groupBy("rk", "digest").agg(F.collect_list(F.struct("p", "q", "h", "equal", "alone", (F.col("contexts") > group).alias("crowded"))).alias("found"))
+    by_text = marked.groupBy("rk", "digest").agg(F.collect_list(F.struct("p", "a", "b", "z", "h", "equal", "alone", (F.col("contexts") > group).alias("crowded"))).alias("found"))
+
+    scratch = Scratch(spark)
+    by_text = scratch.keep("found", by_text)
 
     def places(crowded: bool) -> DataFrame:
         some = by_text.where(F.exists("found", lambda r: r["alone"] & (r["crowded"] == F.lit(crowded))))
         return dealt.join(some, ["rk", "digest"]).select("x", "rk", "digest", "found")
 
-    groups, equal = _from_crowds(places(True).mapInArrow(_crowd_rows, _CROWD), group, Scratch(spark))
+    groups, equal = _from_crowds(places(True).mapInArrow(_crowd_rows, _CROWD), group, scratch)
     contexts = places(False).mapInArrow(_context_rows, _CONTEXT)
     for part in groups:
         contexts = contexts.unionByName(part)

@@ -62,10 +62,15 @@ def test_repeats(spark, group, monkeypatch):
 def test_random_texts_in_blocks(monkeypatch):
     monkeypatch.setattr(suffixes, "BLOCK", 1000)
     data = np.random.default_rng(1).integers(0, 3, 5000).astype(np.uint8)
-    at, h = suffixes.anchors(data)
+    found = suffixes.anchors(data)
     monkeypatch.undo()
     whole = suffixes.anchors(data)
-    assert at.tolist() == whole[0].tolist() and set(np.diff(at) <= suffixes.REACH + 1) == {True}
+    assert [x.tolist() for x in found] == [x.tolist() for x in whole]
+    # Every string has one anchor, the least of its hashes.
+    h = suffixes.gram_hashes(data)
+    starts = [(i, p) for p, _, a, b in zip(*whole) for i in range(a, b + 1)]
+    assert sorted(i for i, _ in starts) == list(range(len(data) - suffixes.LENGTH + 1))
+    assert all(h[p] == h[i : i + suffixes.REACH + 1].min() for i, p in starts)
 
 
 def test_empty(spark):
