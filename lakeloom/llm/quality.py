@@ -1,9 +1,10 @@
 """Quality classifier: supervised subword embeddings.
 
-A document is the mean of learned vectors of its words and of the words' character n-grams, all hashed into a
-fixed number of buckets; a softmax layer gives the class. Training is plain stochastic gradient descent in numpy on a
-bounded sample of labelled rows (``TRAIN_ROWS``), whole texts. Scoring a document of n words takes one table lookup a word,
-because the softmax of two classes needs only the sum of each word's vectors along one direction.
+A document is the mean of learned vectors of its words, of the words' character n-grams and of its word bigrams, all hashed into a
+fixed number of buckets, and of tokens that tell for each word how far back it last stood (by powers of two), as no n-gram of given words
+tells repetition from prose in words never seen; a softmax layer gives the class. Training is plain stochastic gradient descent in numpy on a
+bounded sample of labelled rows (``TRAIN_ROWS``), whole texts. Scoring a document of n words takes one table lookup a word and one a
+bigram, because the softmax of two classes needs only the sum of the vectors along one direction.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from operator import eq
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,9 @@ from pyspark.sql import types as T
 
 from lakeloom.llm.common import slices
 
-BUCKETS = 1 << 16
+#: Buckets of words and n-grams, behind them those of word bigrams, and behind these those of distances.
+BUCKETS, BIGRAMS, DISTANCES = 1 << 16, 1 << 16, 24
+SIZE = BUCKETS + BIGRAMS + DISTANCES
 DIM = 12
 NGRAMS = (2, 3, 4)
 EPOCHS = 6
@@ -32,35 +35,69 @@ THRESHOLD = 0.3
 MEMO_WORDS = 300_000
 #: A feature that every document has, so that an empty one has a vector too.
 ALWAYS = 0
-#: The word bigram of a word and itself, whatever the word; other word bigrams are not used.
-SAME = 1
 
 
 def word_features(word: str) -> list[int]:
     """Buckets of a word and of its character n-grams, the word's ends marked. Very long words count by their n-grams too."""
     marked = f"<{word}>".encode()
     grams = [marked, *(marked[i : i + n] for n in NGRAMS for i in range(len(marked) - n + 1))]
-    return [zlib.crc32(g) % (BUCKETS - 2) + 2 for g in grams]
+    return [zlib.crc32(g) % (BUCKETS - 1) + 1 for g in grams]
+
+
+class Vocabulary:
+    """Numbers of words, with a 64-bit hash and a feature count of each and what ``value`` makes of its features; of bounded size."""
+
+    def __init__(self, value, kind) -> None:
+        self.value, self.kind = value, kind
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.values, self.hashes, self.counts = np.zeros(1024, self.kind), np.zeros(1024, np.uint64), np.zeros(1024, np.int64)
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        """The words' numbers, which hold until the next call of ``trim``."""
+        for w in set(words).difference(self.numbers):
+            n = self.numbers[w] = len(self.numbers)
+            if n == len(self.hashes):
+                self.values, self.hashes, self.counts = (np.r_[x, np.zeros_like(x)] for x in (self.values, self.hashes, self.counts))
+            found = word_features(w)
+            self.values[n] = self.value(found)
+            self.hashes[n], self.counts[n] = zlib.crc32(w.encode()) * 0x9E3779B97F4A7C15 % (1 << 64), len(found)
+        return np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+
+    def trim(self) -> None:
+        if len(self.numbers) > MEMO_WORDS:
+            self.clear()
+
+    def bigrams(self, numbers: np.ndarray) -> np.ndarray:
+        """The buckets of all pairs of neighbouring words."""
+        h = self.hashes[numbers]
+        pair = (h[:-1] ^ h[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xD6E8FEB86659FD93)
+        return (BUCKETS + (pair >> np.uint64(40)) % np.uint64(BIGRAMS)).astype(np.int64)
+
+
+def distances(numbers: np.ndarray) -> np.ndarray:
+    """The buckets of all words' distances from where they last stood; a word's first place has none."""
+    order = np.argsort(numbers, kind="stable")
+    again = numbers[order[1:]] == numbers[order[:-1]]
+    gap = order[1:][again] - order[:-1][again]
+    return BUCKETS + BIGRAMS + np.minimum(np.frexp(gap)[1] - 1, DISTANCES - 1)
 
 
 class Features:
-    """Sparse features of texts, with a memo of words of bounded size."""
+    """Sparse features of texts."""
 
     def __init__(self) -> None:
-        self.memo: dict[str, list[int]] = {}
+        self.words = Vocabulary(lambda found: found, object)
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Distinct buckets and their shares; the shares add up to 1."""
-        words = (text or "").split()
-        found = [ALWAYS] + [SAME] * sum(map(eq, words, words[1:]))
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        for word in words:
-            known = self.memo.get(word)
-            if known is None:
-                known = self.memo[word] = word_features(word)
-            found += known
-        buckets, counts = np.unique(np.array(found, np.int32), return_counts=True)
+        self.words.trim()
+        numbers = self.words((text or "").split())
+        found = [ALWAYS, *chain.from_iterable(self.words.values[numbers].tolist())]
+        found = np.r_[np.array(found, np.int32), self.words.bigrams(numbers).astype(np.int32), distances(numbers).astype(np.int32)]
+        buckets, counts = np.unique(found, return_counts=True)
         return buckets, (counts / len(found)).astype(np.float32)
 
 
@@ -79,9 +116,9 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> Mode
     """Fit to (buckets, shares, class) rows. With rows of one class or none the score is the smoothed share of class 1."""
     ones = sum(y for *_, y in rows)
     if not 0 < ones < len(rows):
-        return Model(np.zeros(BUCKETS, np.float32), float(np.log((ones + 1) / (len(rows) - ones + 1))))
+        return Model(np.zeros(SIZE, np.float32), float(np.log((ones + 1) / (len(rows) - ones + 1))))
     random = np.random.default_rng(seed)
-    table = (random.random((BUCKETS, DIM), np.float32) - 0.5) / DIM
+    table = (random.random((SIZE, DIM), np.float32) - 0.5) / DIM
     out, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
     steps, step = EPOCHS * len(rows), 0
     for _ in range(EPOCHS):
@@ -106,7 +143,9 @@ def training_rows(df: DataFrame, labels: DataFrame, key: str, text: str, label:
     """Features and classes of at most ``limit`` labelled rows. Several labels of one key: the majority, 1 if as many."""
     votes = labels.where(F.col(f"`{key}`").isNotNull() & F.col(f"`{label}`").isNotNull() & usable(F.col(f"`{key}`"))).groupBy(F.col(f"`{key}`").alias("k")).agg((F.avg(F.col(f"`{label}`")) >= 0.5).cast("int").alias("y"))
     chosen = votes.orderBy(F.xxhash64("k"), "k").limit(limit)
-    texts = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("x"))
+    # Of rows that repeat a key one text is learned from.
+    texts = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("x")).join(F.broadcast(chosen), "k")
+    texts = texts.groupBy("k", "y").agg(F.min_by("x", F.xxhash64("x")).alias("x"))
     schema = "k string, y int, buckets binary, shares binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,9 +156,9 @@ def training_rows(df: DataFrame, labels: DataFrame, key: str, text: str, label:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([a.tobytes() for a, _ in found], pa.binary()), pa.array([b.tobytes() for _, b in found], pa.binary())], ["k", "y", "buckets", "shares"])
 
     # ``chosen`` has at most ``limit`` rows of a key and a class, which bounds what is broadcast and what comes to the driver.
-    joined = texts.join(F.broadcast(chosen), "k").select(F.col("k").cast("string"), "y", "x").mapInArrow(run, schema)
+    joined = texts.select(F.col("k").cast("string"), "y", "x").mapInArrow(run, schema)
     rows = sorted(joined.collect(), key=lambda r: (zlib.crc32(r.k.encode()), r.k, bytes(r.buckets)))
-    return [(np.frombuffer(r.buckets, np.int32), np.frombuffer(r.shares, np.float32), r.y) for r in rows[: 2 * limit]]
+    return [(np.frombuffer(r.buckets, np.int32), np.frombuffer(r.shares, np.float32), r.y) for r in rows]
 
 
 def score(df: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
@@ -131,27 +170,16 @@ def score(df: DataFrame, model: Model, text: str = "text", column: str = "score"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         direction, bias = shared.value
-        sums: dict[str, float] = {}
-        counts: dict[str, int] = {}
-
-        def meet(words: set[str]) -> None:
-            for w in words:
-                buckets = word_features(w)
-                sums[w], counts[w] = float(direction[buckets].sum()), len(buckets)
-
+        vocabulary = Vocabulary(lambda found: direction[found].sum(), float)
         for batch in batches:
             for part in slices(batch, text):
-                if len(sums) > MEMO_WORDS:
-                    sums.clear()
-                    counts.clear()
+                vocabulary.trim()
                 scores = []
                 for x in part.column(names.index(text)).to_pylist():
-                    words = (x or "").split()
-                    if new := set(words).difference(sums):
-                        meet(new)
-                    same = sum(map(eq, words, words[1:]))
-                    total = direction[ALWAYS] + same * direction[SAME] + sum(map(sums.__getitem__, words))
-                    z = total / (1 + same + sum(map(counts.__getitem__, words))) + bias
+                    numbers = vocabulary((x or "").split())
+                    pairs = np.r_[vocabulary.bigrams(numbers), distances(numbers)]
+                    total = direction[ALWAYS] + vocabulary.values[numbers].sum() + direction[pairs].sum()
+                    z = total / (1 + vocabulary.counts[numbers].sum() + len(pairs)) + bias
                     scores.append(1 / (1 + np.exp(-z)))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), pa.array(scores, pa.float64())], schema.names)
 

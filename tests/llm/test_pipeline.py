@@ -1,5 +1,6 @@
 """The pipeline's stages on a small corpus with planted cases, and the quality classifier."""
 
+import math
 import random
 
 import pytest
@@ -24,6 +25,25 @@ def test_scores_separate_and_survive_odd_rows(spark):
     assert quality.classify(docs.limit(0), labels).count() == 0
 
 
+def test_repeated_ids_and_clashing_columns(spark):
+    rows = [(i % 40, f"good words in order {i % 40}" if i % 2 else f"bad bad bad {i % 40}", 7, "x") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out int, predicted string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    assert len(quality.training_rows(docs, labels, "doc_id", "text", "quality", lambda k: k >= 0, 500)) == 40
+    found = quality.classify(docs, labels)
+    assert dict(found.dtypes)["held_out"] == "boolean" and dict(found.dtypes)["predicted"] == "int" and found.count() == 400
+
+
+def test_scores_agree_with_features(spark):
+    """Scoring by words gives what the features of the whole text give."""
+    random.seed(2)
+    texts = [" ".join(random.choices(["a", "bb", "ccc", "çé", "x" * 300], k=n)) for n in range(60)]
+    model = quality.train([(*quality.Features()(x), i % 2) for i, x in enumerate(texts)])
+    found = {r.text: r.score for r in quality.score(spark.createDataFrame([(x,) for x in texts], "text string"), model).collect()}
+    for x in texts:
+        assert abs(found[x] - 1 / (1 + math.exp(-model.logit(*quality.Features()(x))))) < 1e-5
+
+
 def test_held_out_labels_are_not_learned(spark):
     import zlib
 
