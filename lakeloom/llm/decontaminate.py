@@ -6,7 +6,8 @@ Each joined pair of positions fixes a diagonal of document against item, which i
 overlap is looked at, and a stretch of at least ``LEAST`` words (or the whole item, if it is shorter) with ``SHARE`` of them equal is contamination. Items shorter than ``LEAST`` words may have one word replaced and those under
 ``SPAN`` words use shorter masks; items under ``SHORT`` words are matched word by word without replacements.
 
-Test hashes are broadcast in blocks of at most ``BLOCK_WORDS`` words, however large the test set is, and each block meets all documents.
+The test set is indexed on the driver in blocks of at most ``BLOCK_WORDS`` words, whatever its size, and each block's sorted arrays are broadcast
+once and meet all documents: a join of the two sides' hashes whose smaller side has a proven size.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ from pyspark.sql import types as T
 from lakeloom.llm.common import slices
 
 SPAN, LEAST, SHORT, SHARE = 9, 12, 6, 0.75
-#: Masks over up to SPAN words: 1 counts, 0 is left out. Five words count in each, and whichever three of twelve words are replaced, some
-#: window of some mask has none of them, so no stretch of LEAST words with SHARE of them equal goes unseen.
-MASKS = ("1101011", "110010011", "111000101", "10100111")
+#: Masks over up to SPAN words: 1 counts, 0 is left out. Five words count in each, and whichever quarter of the words of a stretch is replaced, some
+#: window of some mask has none of them, so no stretch of LEAST words or more with SHARE of them equal goes unseen. (Enumerated for 12 to 23 words;
+#: a longer stretch is made up of such ones, and one of them has that share.)
+MASKS = ("1101011", "110010011", "111000101", "10100111", "100001111")
 #: Masks for items of SHORT to SPAN - 1 words, of which at most one may be replaced: halves of a window of SHORT words.
 SHORT_MASKS = ("111", "110001", "100011")
 BLOCK_WORDS = 4_000_000
@@ -166,7 +168,7 @@ def contaminated(df: DataFrame, tests: DataFrame, key: str = "doc_id", text: str
     schema = T.StructType([df.schema[key], T.StructField("item_id", tests.schema[item].dataType), *[T.StructField(n, T.LongType(), False) for n in ("first_word", "n_words", "n_equal")]])
     out = None
     for items in _blocks(tests, item, item_text, block_words):
-        shared = df.sparkSession.sparkContext.broadcast(items)
+        shared = df.sparkSession.sparkContext.broadcast(TestIndex(items))
         part = df.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(_matcher(shared, text, schema), schema)
         out = part if out is None else out.unionByName(part)
     return out
@@ -174,7 +176,7 @@ def contaminated(df: DataFrame, tests: DataFrame, key: str = "doc_id", text: str
 
 def _matcher(shared, text: str, schema: T.StructType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, read = TestIndex(shared.value), Words()
+        index, read = shared.value, Words()
         ids = pa.array(index.ids)
         for batch in batches:
             for part in slices(batch, text):
@@ -190,14 +192,14 @@ def decontaminate(df: DataFrame, tests: DataFrame, key: str = "doc_id", text: st
     """The rows of ``df``, all columns, that contain no test item. One pass without a shuffle for each block of the test set."""
     schema = df.schema
     for items in _blocks(tests, "item_id", item_text, BLOCK_WORDS):
-        shared = df.sparkSession.sparkContext.broadcast(items)
+        shared = df.sparkSession.sparkContext.broadcast(TestIndex(items))
         df = df.mapInArrow(_cleaner(shared, df.columns.index(text), text), schema)
     return df
 
 
 def _cleaner(shared, at: int, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, read = TestIndex(shared.value), Words()
+        index, read = shared.value, Words()
         for batch in batches:
             for part in slices(batch, text):
                 clean = [not index.matches(read(x)) for x in part.column(at).to_pylist()]

@@ -1,8 +1,11 @@
 """Spaced seeds against a brute-force search of all diagonals."""
 
 import itertools
+import math
 import random
 
+import pytest
+
 from lakeloom.llm import decontaminate as d
 
 
@@ -46,9 +49,24 @@ def test_matches(spark):
     assert {r.doc_id for r in d.decontaminate(frame, tests).collect()} == {i for i, _ in docs} - {i for i, _ in found}
 
 
-def test_masks_see_every_stretch():
-    for bad in itertools.combinations(range(d.LEAST), 3):
-        assert any(all(s + i not in bad for i, on in enumerate(m) if on == "1") for m in d.MASKS for s in range(d.LEAST - len(m) + 1))
+@pytest.mark.parametrize("n", range(d.SPAN, 24))
+def test_masks_see_every_stretch(n):
+    """Every way to replace words of a stretch of n that leaves enough of them; items under LEAST words may have one replaced."""
+    bits = [sum(1 << i for i, on in enumerate(m) if on == "1") << s for m in d.MASKS for s in range(n - len(m) + 1)]
+    replaced = n - math.ceil(d.SHARE * n - 1e-9) if n >= d.LEAST else 1
+    assert all(any(not gone & b for b in bits) for gone in (sum(1 << i for i in c) for c in itertools.combinations(range(n), replaced)))
+
+
+def test_long_text_and_repeated_rows(spark):
+    random.seed(3)
+    say = lambda n: " ".join(f"w{random.randrange(5000)}" for _ in range(n))
+    item = say(40)
+    rows = [(1, say(150_000) + " " + item + " " + say(50_000), "x"), (1, "a " + item, "y"), (1, "a " + item, "y"), (2, say(100), "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words string")
+    tests = spark.createDataFrame([(7, item), (7, item)], "item_id long, text string")
+    found = sorted((r.doc_id, r.item_id, r.first_word, r.n_words, r.n_equal) for r in d.contaminated(docs, tests).collect())
+    assert found == [(1, 7, 1, 40, 40)] * 4 + [(1, 7, 150_000, 40, 40)] * 2
+    assert [tuple(r) for r in d.decontaminate(docs, tests).collect()] == rows[3:]
 
 
 def test_empty(spark):
