@@ -12,7 +12,10 @@ from __future__ import annotations
 
 import html as entities
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,8 +24,8 @@ from pyspark.sql import types as T
 
 from lakeloom.llm.common import checkpointed, slices
 
-#: A node is template from so many different pages on, if its text is the same in this share of them.
-LEAST_PAGES, SAME_SHARE = 5, 0.9
+#: A node is template from so many different pages on, if its text is the same in this share of them; inside an article from ``SURE_PAGES`` on.
+LEAST_PAGES, SURE_PAGES, SAME_SHARE = 2, 5, 0.9
 #: Inside an article only short texts can be template.
 SHORT_WORDS = 12
 #: Two lists of children with more pairs than this are halved (Hirschberg), for memory; the assignment is the greatest at every size.
@@ -32,8 +35,8 @@ KEPT = 200_000
 #: References of up to so many bytes in all are broadcast; beyond that they are joined by host.
 BROADCAST_BYTES = 32 << 20
 MEMO = 512
-#: Elements nested deeper than this stand beside, not in, the one before.
-DEPTH = 150
+#: Elements nested deeper than this stand beside, not in, the one before, as in browsers.
+DEPTH = 512
 
 # Elements that start a block of their own.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe li main menu nav noscript ol option p pre search section select summary svg table tbody td textarea template tfoot th thead title tr ul".split())
@@ -41,6 +44,8 @@ BLOCKS = frozenset("address article aside blockquote body button caption center
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements that are never content.
 FURNITURE = frozenset("aside button dialog footer form head iframe menu nav noscript option search select svg template textarea title".split())
+#: Words that name no kind of content; a class or id name is furniture's if each of its words is one of these or of NAMES, and one at least of NAMES.
+PLAIN = frozenset("area bar block bottom box cell col column container content div entry fixed foot global group head holder inner items left link links list main module outer page panel post posts right row section site sticky top ul wrap wrapper".split())
 # Words of class and id names, and roles, of what is never content.
 NAMES = frozenset("ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus disclaimer footer gdpr login masthead menu modal nav navbar navigation newsletter notice notification pager pagination paywall popup promo promoted promotion related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
@@ -51,7 +56,10 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbod
 #: How far back such an element is looked for.
 SCOPE = frozenset(["ul", "ol", "dl", "table", "menu", "select", "body", "article", "section", "div"])
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S | re.I)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]{0,99})")
+_REST = re.compile(r"""(?>[^>"']+|"[^"]*"|'[^']*')*+>""")
+_UNQUOTED = re.compile(r"""[^>"']*""")
+_RAW_END = {"script": re.compile(r"</script\s*>", re.I), "style": re.compile(r"</style\s*>", re.I)}
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -69,13 +77,74 @@ class Node:
         self.index = -1
 
 
+@lru_cache(10_000)
+def furniture_word(name: str) -> str | None:
+    """The word of NAMES or OUTSIDE that a class or id name is made of, if it names nothing else."""
+    words = [x.lower() for x in _PIECES.findall(name)]
+    known = [x for x in words if x in NAMES or x in OUTSIDE]
+    return known[0] if known and all(x in NAMES or x in OUTSIDE or x in PLAIN or x.isdigit() for x in words) else None
+
+
+def tags(source: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, slash, tag, rest) of all markup; the tag is empty where the markup is no element. Linear in the page, whatever is left open.
+
+    The rest of a tag ends at the first ``>`` outside quotes. Where there is none, its ``<`` is text.
+    """
+    last, no_cdata = source.rfind(">"), "]]>" not in source
+    # Quotes from which no end of a tag is reached; two ways through the same page meet at them.
+    open_quotes: set[int] = set()
+
+    def end_of(i: int) -> int:
+        if i > last:
+            return -1
+        if not open_quotes:
+            m = _REST.match(source, i)
+            if m:
+                return m.end()
+        seen = []
+        while True:
+            i = _UNQUOTED.match(source, i).end()
+            if i < len(source) and source[i] == ">":
+                return i + 1
+            if i >= last or i in open_quotes:
+                break
+            seen.append(i)
+            i = source.find(source[i], i + 1) + 1
+            if not i:
+                break
+        open_quotes.update(seen)
+        return -1
+
+    at = source.find("<")
+    while at >= 0:
+        stop, found = -1, ("", "", "")
+        if source.startswith("<!--", at):
+            stop = source.find("-->", at + 4) + 3
+            stop = stop if stop > 2 else len(source)
+        elif source.startswith(("<!", "<?"), at):
+            if source.startswith("<![CDATA[", at) and not no_cdata and (found_at := source.find("]]>", at)) >= 0:
+                stop = found_at + 3
+            elif at < last:
+                stop = source.index(">", at) + 1
+        elif m := _TAG.match(source, at):
+            tag = m[2].lower()
+            if not m[1] and tag in _RAW_END:
+                raw = _RAW_END[tag].search(source, m.end())
+                stop = raw.end() if raw else len(source)
+            elif (stop := end_of(m.end())) >= 0:
+                found = (m[1], tag, source[m.end() : stop - 1])
+        if stop >= 0:
+            yield at, stop, *found
+        at = source.find("<", stop if stop >= 0 else at + 1)
+
+
 def _open(tag: str, raw: str, parent: Node) -> Node:
     names, label, hidden, role = set(), tag, False, ""
     if raw and not raw.isspace():
         for m in _ATTRIBUTE.finditer(raw):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name in ("class", "id"):
-                names.update(x.lower() for x in _PIECES.findall(value))
+                names.update(filter(None, map(furniture_word, value.split())))
                 if name == "class":
                     label = f"{tag}.{value}"
             elif name == "role":
@@ -92,18 +161,23 @@ def parse(source: str) -> Node:
     """The tree of block elements. Inline elements leave their text in place; a line break counts as white space."""
     root = Node("#", "#", False, False)
     stack, at = [root], 0
-    for m in _TOKEN.finditer(source):
-        if m.start() > at:
-            stack[-1].items.append(source[at : m.start()])
-        at = m.end()
-        if m[3] is None:
+    opened: Counter[str] = Counter()
+
+    def close(i: int) -> None:
+        opened.subtract(n.tag for n in stack[i:])
+        del stack[i:]
+
+    for start, stop, slash, tag, rest in tags(source):
+        if start > at:
+            stack[-1].items.append(source[at:start])
+        at = stop
+        if not tag:
             continue
-        tag = m[3].lower()
-        if m[2]:
-            if tag in BLOCKS:
+        if slash:
+            if opened[tag] > 0:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == tag:
-                        del stack[i:]
+                        close(i)
                         break
                     if tag == "p" and stack[i].tag in SCOPE:
                         break
@@ -111,23 +185,25 @@ def parse(source: str) -> Node:
             stack[-1].items.append(" ")
         elif tag in BLOCKS:
             if stack[-1].tag == "p" or stack[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6") and tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
-                stack.pop()
+                close(len(stack) - 1)
             for i in range(len(stack) - 1, 0, -1):
                 if tag in ENDS.get(stack[i].tag, ()):
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in SCOPE:
                     break
             if len(stack) > DEPTH:
-                stack.pop()
-            node = _open(tag, m[4], stack[-1])
+                close(len(stack) - 1)
+            node = _open(tag, rest, stack[-1])
             stack[-1].items.append(node)
             stack[-1].kids.append(node)
             if tag not in VOID:
                 stack.append(node)
+                opened[tag] += 1
     if at < len(source):
-        rest = source[at:]
-        stack[-1].items.append(rest.partition("<")[0] if re.match(r"[^<]*<[/a-zA-Z!?]", rest) else rest)
+        # Markup that the page's end cuts off is no text.
+        cut = re.compile("<[/a-zA-Z!?]").search(source, max(at, source.rfind("<")))
+        stack[-1].items.append(source[at : cut.start()] if cut else source[at:])
     number = 0
     todo = [root]
     while todo:
@@ -217,6 +293,8 @@ def align(a: Node, b: Node) -> dict[int, Node]:
                 pairs.append((xs[i], ys[j]))
         return rows[-1][-1], pairs
 
+    if sys.getrecursionlimit() < 8 * DEPTH:
+        sys.setrecursionlimit(8 * DEPTH)
     found: dict[int, Node] = {}
     if a.label != b.label:
         return found
@@ -238,8 +316,8 @@ def nodes(root: Node) -> Iterator[Node]:
         todo.extend(reversed(node.kids))
 
 
-def content(root: Node, template: dict[int, Node], constant: frozenset[int]) -> list[str]:
-    """The blocks of the page's content. ``template`` are its matches with the reference, ``constant`` the reference nodes that are template."""
+def content(root: Node, template: dict[int, Node], constant: frozenset[int], sure: frozenset[int]) -> list[str]:
+    """The blocks of the page's content. ``template`` are its matches with the reference, ``constant`` the reference nodes that are template, ``sure`` those of many pages."""
     has_article = any(n.inside and not n.furniture and n.text for n in nodes(root))
     out: list[str] = []
 
@@ -249,7 +327,7 @@ def content(root: Node, template: dict[int, Node], constant: frozenset[int]) ->
         twin = template.get(node.index)
         if twin is None or twin.index not in constant or twin.text != node.text:
             return True
-        return node.inside and len(node.text.split()) > SHORT_WORDS
+        return node.inside and (twin.index not in sure or len(node.text.split()) > SHORT_WORDS)
 
     # Blocks in page order; a node's own blocks stand between its children's.
     stack: list[tuple[Node, int]] = [(root, 0)]
@@ -313,20 +391,21 @@ def induce(pages: DataFrame) -> DataFrame:
 
     The reference is the page of the least key. Votes are counted over all pages of a host, before their shuffle first.
     """
-    usable = pages.where("host IS NOT NULL AND page IS NOT NULL")
+    usable = pages.where("host IS NOT NULL AND btrim(page, ' \t\r\n') != ''")
     least = usable.groupBy("host").agg(F.min(F.struct("key", "digest")).alias("least"), F.count("*").alias("n"))
     least = checkpointed(least.where("n > 1").select("host", F.col("least.key").alias("least_key"), F.col("least.digest").alias("digest")))
     chosen = usable.join(_bounded(least), ["host", "digest"]).where(F.col("key").eqNullSafe(F.col("least_key")))
     references = checkpointed(chosen.groupBy("host").agg(F.min("page").alias("source")))
     votes = usable.join(_bounded(references), "host").select("host", "digest", "page", "source").mapInArrow(_vote_rows, "host string, digest long, node int, same boolean")
     counts = votes.groupBy("host", "node", "digest").agg(F.max("same").alias("same")).groupBy("host", "node").agg(F.count("*").alias("n"), F.count_if("same").alias("equal"))
-    constant = counts.where((F.col("n") >= LEAST_PAGES) & (F.col("equal") >= SAME_SHARE * F.col("n"))).groupBy("host").agg(F.collect_list("node").alias("constant"))
+    constant = counts.where((F.col("n") >= LEAST_PAGES) & (F.col("equal") >= SAME_SHARE * F.col("n"))).groupBy("host").agg(F.collect_list("node").alias("constant"), F.collect_list(F.when(F.col("n") >= SURE_PAGES, F.col("node"))).alias("sure"))
     return checkpointed(references.join(constant, "host", "left"))
 
 
 def _bounded(small: DataFrame) -> DataFrame:
     """``small``, to be broadcast if its measured size allows it; else it is joined by a shuffle."""
-    size = small.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in small.columns if dict(small.dtypes)[c] == "string"), F.lit(64)))).first()[0] or 0
+    sizes = {"string": F.octet_length, "array<int>": lambda c: 4 * F.greatest(F.size(c), F.lit(0))}
+    size = small.agg(F.sum(sum((F.coalesce(sizes[kind](c), F.lit(0)) for c, kind in small.dtypes if kind in sizes), F.lit(64)))).first()[0] or 0
     return F.broadcast(small) if size <= BROADCAST_BYTES else small
 
 
@@ -337,7 +416,7 @@ def extract(df: DataFrame, key: str = "page_id", url: str = "url", page: str = "
     """
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").cast("string").alias("url"), F.col(f"`{page}`").cast("string").alias("page")).withColumn("host", host_of(F.col("url"))).withColumn("digest", F.xxhash64("page"))
     wrappers = induce(rows)
-    joined = rows.join(_bounded(wrappers), "host", "left").select("key", "url", "page", "source", "constant")
+    joined = rows.join(_bounded(wrappers), "host", "left").select("key", "url", "page", "source", "constant", "sure")
     schema = T.StructType([T.StructField("key", df.schema[key].dataType), *T._parse_datatype_string("url string, text string, n_chars long").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,10 +424,10 @@ def extract(df: DataFrame, key: str = "page_id", url: str = "url", page: str = "
         for batch in batches:
             for part in slices(batch, "page"):
                 texts = []
-                for source_page, source, constant in zip(*(part.column(i).to_pylist() for i in (2, 3, 4))):
+                for source_page, source, constant, sure in zip(*(part.column(i).to_pylist() for i in (2, 3, 4, 5))):
                     tree = parse(source_page or "")
                     twins = align(tree, reference(source)) if source is not None and constant else {}
-                    texts.append("\n\n".join(content(tree, twins, frozenset(constant or ()))))
+                    texts.append("\n\n".join(content(tree, twins, frozenset(constant or ()), frozenset(sure or ()))))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], schema.names)
 
     return joined.mapInArrow(run, schema).withColumnRenamed("key", key)

@@ -1,6 +1,9 @@
 """Wrapper induction on made-up sites whose article text is known."""
 
 import random
+import time
+
+import pytest
 
 from lakeloom.llm import html
 
@@ -88,3 +91,35 @@ def test_long_lists_are_aligned_exactly():
                 row.append(max(above[j + 1], row[-1], above[j] + w))
         assert sum(1.25 if y.text == x.text else 1 for x in html.nodes(a) if (y := pairs.get(x.index))) == row[-1] + 2.5
         assert len({y.index for y in pairs.values()}) == len(pairs)
+
+
+def plain(source):
+    return html.content(html.parse(source), {}, frozenset(), frozenset())
+
+
+def test_names_that_only_contain_a_word_of_furniture():
+    assert plain('<div id="main" class="layout has-sidebar"><p>Hello</p></div><div class="site-footer">foot</div>') == ["Hello"]
+    assert plain('<article><section id="related-work"><p>A</p></section><div class="search-engine">B</div><div class="cookie-banner">C</div><div class="comments">D</div></article>') == ["A", "B"]
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<a '", "<a", "<![CDATA[", "<!", '<p a="x>', "<a b=\"c'>", "</p>", "<div>", "<div></section>"])
+def test_broken_markup_takes_linear_time(piece):
+    began = time.process_time()
+    html.parse(piece * (400_000 // len(piece)))
+    assert time.process_time() - began < 5
+
+
+@pytest.mark.parametrize("pages", [2, 3, 8])
+def test_constant_blocks_of_hosts_without_articles(spark, pages):
+    """Unnamed notices and footers that all pages of a small host have are found by the wrapper alone."""
+    rows = [(i, f"http://h{pages}.example/{i}", f"<body><div>All about us and our shop</div><div><p>Story {i} of its own</p><p>More {i * i} words</p></div><div>Printed on paper</div></body>") for i in range(pages)]
+    rows += [(100, f"http://h{pages}.example/empty", "  "), (101, "http://alone.example/", "<div>Alone</div>")]
+    found = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {**{i: f"Story {i} of its own\n\nMore {i * i} words" for i in range(pages)}, 100: "", 101: "Alone"}
+
+
+def test_shuffled_wrappers(spark, monkeypatch):
+    monkeypatch.setattr(html, "BROADCAST_BYTES", 0)
+    rows = [(i, "http://a.example/", f"<div>Same on all pages</div><p>Text {i}</p>") for i in range(6)]
+    found = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: f"Text {i}" for i in range(6)}
