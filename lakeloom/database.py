@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Mapping
+from contextlib import suppress
 from dataclasses import dataclass, field, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,8 +77,14 @@ class Database:
 
     def create_view(self, name: str, text: str) -> None:
         """A view is its text, analyzed over the tables that have these names when it is read."""
-        self.views[name] = text
         self.spark.sql(text).createOrReplaceTempView(name)
+        self.views[name] = text
+
+    def _refresh_views(self) -> None:
+        """Views are analyzed again, in the order in which they were made, so that they see the present tables. One whose table is gone goes on as it was."""
+        for name, text in self.views.items():
+            with suppress(AnalysisException):
+                self.spark.sql(text).createOrReplaceTempView(name)
 
     def drop_view(self, name: str) -> None:
         del self.views[name]
@@ -111,8 +119,13 @@ class Database:
 
     def set_constraints(self, name: str, **changes) -> None:
         """SET and DROP of DEFAULT and NOT NULL; what is there must satisfy the new rules."""
-        self.constraints[name] = replace(self.constraints[name], **changes)
-        self._check(name, self.tables[name])
+        before = self.constraints[name]
+        self.constraints[name] = replace(before, **changes)
+        try:
+            self._check(name, self.tables[name])
+        except dml.ConstraintError:
+            self.constraints[name] = before
+            raise
 
     # --- rows ---
 
@@ -144,17 +157,40 @@ class Database:
 
     def delete(self, name: str, where: str | None = None) -> DataFrame:
         """Delete rows and return them; children follow their foreign keys' actions."""
-        table = self.tables[name]
-        gone = table.where(where or "true")
-        for child, rules in self.constraints.items():
-            for fk in rules.foreign_keys:
-                if fk.parent == name:
-                    self._set(child, dml.on_parent_delete(self.tables[child], fk.column, gone, fk.key, fk.on_delete, fk.default))
-        self._set(name, dml.delete(table, where))
+        gone = self.tables[name].where(where or "true")
+        self.delete_rows(name, gone, dml.delete(self.tables[name], where))
         return gone
 
-    def truncate(self, *names: str) -> None:
-        for name in names:
+    def delete_rows(self, name: str, gone: DataFrame, kept: DataFrame) -> None:
+        """A table without the rows ``gone``. All tables that follow are made and checked before the first one is replaced."""
+        made = {name: kept}
+        todo = [(name, gone)]
+        while todo:
+            parent, lost = todo.pop()
+            for child, rules in self.constraints.items():
+                for fk in rules.foreign_keys:
+                    if fk.parent != parent:
+                        continue
+                    now = made.get(child, self.tables[child])
+                    made[child] = dml.on_parent_delete(now, fk.column, lost, fk.key, fk.on_delete, rules.defaults.get(fk.column, fk.default))
+                    if fk.on_delete == "CASCADE":
+                        keys = lost.select(F.col(fk.key).alias("_gone")).distinct()
+                        more = now.join(keys, F.col(fk.column) == F.col("_gone"), "left_semi")
+                        if not more.isEmpty():
+                            todo.append((child, more))
+        for table, df in made.items():
+            self._set(table, df)
+
+    def truncate(self, *names: str, cascade: bool = False) -> None:
+        """Empty tables. Others that refer to them are emptied too with ``cascade``; else it is an error."""
+        found = list(names)
+        for name in found:
+            for child, rules in self.constraints.items():
+                if child not in found and any(fk.parent == name for fk in rules.foreign_keys):
+                    if not cascade:
+                        raise dml.ConstraintError("0A000", f"{child} refers to {name}")
+                    found.append(child)
+        for name in found:
             self._set(name, self.tables[name].limit(0))
 
     def query(self, text: str, **args) -> DataFrame:
@@ -183,23 +219,32 @@ class Database:
         self.tables, self.constraints, self.views = before
         for name, df in self.tables.items():
             df.createOrReplaceTempView(name)
-        for name, text in self.views.items():
-            self.spark.sql(text).createOrReplaceTempView(name)
+        self._refresh_views()
 
     # --- inner ---
 
     def _set(self, name: str, df: DataFrame) -> None:
         self.tables[name] = df
         df.createOrReplaceTempView(name)
+        self._refresh_views()
 
     def _replace(self, name: str, df: DataFrame, changed: Mapping | None = None) -> None:
         self._check(name, df)
+        made: dict[str, DataFrame] = {}
         for child, rules in self.constraints.items():
             for fk in rules.foreign_keys:
-                if fk.parent == name and changed and fk.key in changed and fk.on_update == "CASCADE":
-                    value, where = changed[fk.key]
-                    keys = self.tables[name].where(where or "true").select(F.col(fk.key).alias("o"), dml._column(value).alias("n"))
-                    self._set(child, dml.on_parent_update(self.tables[child], fk.column, keys, "o", "n"))
+                if fk.parent != name or not changed or fk.key not in changed:
+                    continue
+                value, where = changed[fk.key]
+                keys = self.tables[name].where(where or "true").select(F.col(fk.key).alias("o"), dml._column(value).cast(self.tables[name].schema[fk.key].dataType).alias("n")).where("NOT (o <=> n)")
+                now = made.get(child, self.tables[child])
+                if fk.on_update == "CASCADE":
+                    made[child] = dml.on_parent_update(now, fk.column, keys, "o", "n")
+                else:  # only keys that no row has any more
+                    lost = keys.join(df.select(F.col(fk.key).alias("still")), F.col("o") == F.col("still"), "left_anti")
+                    made[child] = dml.on_parent_delete(now, fk.column, lost, "o", fk.on_update, rules.defaults.get(fk.column, fk.default))
+        for child, new in made.items():
+            self._set(child, new)
         self._set(name, df)
 
     def _check(self, name: str, df: DataFrame) -> None:

@@ -146,6 +146,18 @@ def to_char(x, picture: str) -> Column:
     return F.concat(*made)
 
 
+def to_char_text(x: str, picture: str) -> str:
+    """``to_char`` of an expression in SQL text, as SQL text."""
+    parts = re.findall("|".join(sorted(_PICTURES, key=len, reverse=True)) + r"|[^A-Za-z]+|[A-Za-z]", picture, re.I)
+    made = []
+    for p in parts:
+        known = _PICTURES.get(p.upper())
+        named = p.upper() in ("MON", "MONTH", "DY", "DAY")
+        value = f"date_format({x}, '{known}')"
+        made.append(f"'{p}'" if known is None else f"upper({value})" if named and p.isupper() else f"lower({value})" if named and p.islower() else value)
+    return f"concat({', '.join(made)})"
+
+
 # --- dates ---
 
 

@@ -23,7 +23,16 @@ def _column(x) -> Column:
 def insert(table: DataFrame, rows: DataFrame, defaults: Mapping[str, object] | None = None) -> DataFrame:
     """The table and new rows; columns that the rows lack get their default, or null."""
     given = {c.lower(): c for c in rows.columns}
-    made = [F.col(given[f.name.lower()]).cast(f.dataType).alias(f.name) if f.name.lower() in given else F.lit((defaults or {}).get(f.name)).cast(f.dataType).alias(f.name) for f in table.schema.fields]
+
+    def value(f) -> Column:
+        if f.name.lower() not in given:
+            return F.lit((defaults or {}).get(f.name)).cast(f.dataType)
+        c = given[f.name.lower()]
+        if f.dataType.simpleString().startswith("array") and rows.schema[c].dataType.simpleString() == "string":  # a vector's text
+            return F.from_json(F.col(c), "array<double>").cast(f.dataType)
+        return F.col(c).cast(f.dataType)
+
+    made = [value(f).alias(f.name) for f in table.schema.fields]
     return table.unionByName(rows.select(*made))
 
 

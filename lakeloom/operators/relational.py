@@ -44,10 +44,13 @@ def date_series(spark: SparkSession, start: str, stop: str, interval: str, name:
     return spark.sql(f"SELECT explode({steps}) AS {name}")
 
 
-def _stable(df: DataFrame) -> DataFrame:
+def stable(df: DataFrame) -> DataFrame:
+    """The rows written to the shared checkpoint folder, and read from there."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         given = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not given and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set; it must name a folder that the driver and all executors share")
         context.setCheckpointDir(given or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
@@ -58,17 +61,17 @@ def recursive(seed: DataFrame, step: Callable[[DataFrame], DataFrame], distinct:
     With ``distinct`` (UNION) rows met before are dropped, null-safe; without it (UNION ALL) all rows count. Rounds are checkpointed in
     the shared folder, so lineage does not grow; more than ``limit`` rounds raise.
     """
-    new = _stable(seed.distinct() if distinct else seed)
+    new = stable(seed.distinct() if distinct else seed)
     parts, everything = [new], new
     for _ in range(limit):
         made = step(new)
-        new = _stable(made.select(*seed.columns).distinct().subtract(everything) if distinct else made.select(*seed.columns))
+        new = stable(made.select(*seed.columns).distinct().subtract(everything) if distinct else made.select(*seed.columns))
         if new.isEmpty():
             return everything
         parts.append(new)
         everything = everything.unionByName(new)
         if len(parts) % 16 == 0:
-            everything = _stable(everything)
+            everything = stable(everything)
     raise RuntimeError(f"recursion did not end within {limit} rounds")
 
 

@@ -161,7 +161,7 @@ def _(load, spark):
     return db.query("SELECT n_nationkey, n_name FROM prepared_nation WHERE n_regionkey = :r AND n_nationkey > :k", r=1, k=3).withColumn("version", F.lit(db.show("server_version")))
 
 
-@frame("d19_explain")
+@frame("d19_explain", "SELECT true AS scans")
 def _(load, spark):
     db = Database(spark)
     db.create_table("explained", load("region"))

@@ -38,7 +38,7 @@ def _(load, spark):
 sql("f_repeat_reverse_translate", "SELECT n_nationkey, repeat(n_name, 2) AS r, reverse(n_name) AS v, translate(n_name, 'AE', 'ae') AS t, md5(n_name) AS m FROM nation")
 
 
-@frame("f_initcap")
+@frame("f_initcap", "SELECT * FROM (VALUES ('hELLO wORLD', 'Hello World'), ('one-two_three', 'One-Two_Three'), ('x' || chr(9) || 'y', 'X' || chr(9) || 'Y')) t(s, i)")
 def _(load, spark):
     return spark.sql("SELECT * FROM (VALUES ('hELLO wORLD'), ('one-two_three'), ('x\\ty')) AS t(s)").select("s", fn.initcap("s").alias("i"))
 
@@ -88,7 +88,7 @@ sql("f_greatest_least", "SELECT p_partkey, greatest(p_size, x, 7) AS g, least(p_
 sql("f_coalesce_nullif", "SELECT n_nationkey, coalesce(nullif(n_nationkey % 3, 0), -1) AS c, nullif(n_name, 'FRANCE') AS n FROM nation")
 
 
-@frame("f_random")
+@frame("f_random", "SELECT true AS low, true AS high FROM region")
 def _(load, spark):
     return load("region").select((F.rand() >= 0).alias("low"), (F.rand() < 1).alias("high"))
 
@@ -96,7 +96,7 @@ def _(load, spark):
 # --- dates ---
 
 
-@frame("f_now")
+@frame("f_now", "SELECT true AS a, true AS b, true AS c, true AS d")
 def _(load, spark):
     return spark.sql("SELECT now() >= TIMESTAMP '2024-01-01' AS a, current_timestamp() = now() AS b, current_date() >= DATE '2024-01-01' AS c, current_time() IS NOT NULL AS d")
 
@@ -111,7 +111,7 @@ sql("f_extract_time", "SELECT event_id, hour(ts) AS h, minute(ts) AS m, second(t
 sql("f_date_trunc", "SELECT event_id, date_trunc('hour', ts) AS h, date_trunc('day', ts) AS d, date_trunc('week', ts) AS w, date_trunc('month', ts) AS m, date_trunc('quarter', ts) AS q, date_trunc('year', ts) AS y FROM events", "SELECT event_id, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS h, CAST(date_trunc('day', ts) AS TIMESTAMP) AS d, CAST(date_trunc('week', ts) AS TIMESTAMP) AS w, CAST(date_trunc('month', ts) AS TIMESTAMP) AS m, CAST(date_trunc('quarter', ts) AS TIMESTAMP) AS q, CAST(date_trunc('year', ts) AS TIMESTAMP) AS y FROM events")
 
 
-@frame("f_age")
+@frame("f_age", "SELECT * FROM (VALUES (DATE '2024-03-15', DATE '2023-01-10', '1 year 2 mons 5 days'), (DATE '2024-01-01', DATE '2024-01-01', '00:00:00'), (DATE '2020-02-29', DATE '2021-03-01', '-1 years -1 days'), (DATE '2024-01-02', NULL, NULL)) t(a, b, age)")
 def _(load, spark):
     rows = spark.sql("SELECT * FROM (VALUES (DATE '2024-03-15', DATE '2023-01-10'), (DATE '2024-01-01', DATE '2024-01-01'), (DATE '2020-02-29', DATE '2021-03-01'), (DATE '2024-01-02', NULL)) AS t(a, b)")
     return rows.select("a", "b", fn.age_text("a", "b").alias("age"))
@@ -125,7 +125,7 @@ sql("f_interval_arithmetic", "SELECT CAST(TIMESTAMP_NTZ '2024-01-31 10:00:00' +
 # --- the rest ---
 
 
-@frame("f_uuid")
+@frame("f_uuid", "SELECT true AS ok FROM region")
 def _(load, spark):
     return load("region").select(F.expr("uuid()").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$").alias("ok"))
 

@@ -82,3 +82,93 @@ def test_foreign_keys(spark):
         e.sql("INSERT INTO children VALUES (12, 9)")
     e.sql("DELETE FROM parents WHERE id = 1")
     assert [tuple(r) for r in e.sql("SELECT * FROM children").collect()] == [(11, 2)]
+
+
+@pytest.fixture()
+def engine(spark):
+    return Engine(spark)
+
+
+def got(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        ("SELECT 7/2, 7.0/2, -7/2, (1+2)/2*3, 9/2/2, 9/2.0/2", [(3, 3.5, -3, 3, 2, 2.25)]),
+        ("SELECT " + "/".join(["1000"] + ["1"] * 12), [(1000,)]),
+        ("SELECT sqrt(16), ln(1), sign(-2.5)", [(4.0, 0.0, -1)]),
+        ("SELECT quote_ident('a b'), quote_ident('ab'), format('%s-%I 5%', 'x', 'y z')", [('"a b"', "ab", 'x-"y z" 5%')]),
+        ("SELECT array_to_string(ARRAY[1,2,3], '-'), to_char(DATE '2024-03-05', 'YYYY Mon DD')", [("1-2-3", "2024 Mar 05")]),
+        ("SELECT age(DATE '2024-03-05', DATE '2023-01-01'), age(DATE '2024-01-01', DATE '2024-01-01')", [("1 year 2 mons 4 days", "00:00:00")]),
+        ("SELECT relname FROM pg_catalog.pg_class WHERE relname = 'no_such'", []),
+        ("WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 300) SELECT max(n) FROM t", [(300,)]),
+    ],
+)
+def test_forms(engine, text, expected):
+    assert got(engine.sql(text)) == expected
+
+
+@pytest.mark.parametrize("text", ["SELECT sqrt(x) FROM VALUES (-1) AS t(x)", "SELECT ln(x) FROM VALUES (0) AS t(x)"])
+def test_strict_functions_raise(engine, text):
+    with pytest.raises(Exception, match="cannot take"):
+        engine.sql(text).collect()
+
+
+def test_views_see_later_rows(engine):
+    engine.sql("CREATE TABLE e_v (a INT); INSERT INTO e_v VALUES (1); CREATE VIEW e_vv AS SELECT a / 2 AS h FROM e_v; INSERT INTO e_v VALUES (5)")
+    assert got(engine.sql("SELECT * FROM e_vv")) == [(0,), (2,)]
+
+
+def test_foreign_keys_on_update_and_delete(engine):
+    engine.sql("CREATE TABLE e_p (id INT PRIMARY KEY); CREATE TABLE e_c (id INT PRIMARY KEY, p INT REFERENCES e_p(id)); INSERT INTO e_p VALUES (1), (2); INSERT INTO e_c VALUES (10, 1)")
+    with pytest.raises(ConstraintError):
+        engine.sql("UPDATE e_p SET id = 99 WHERE id = 1")
+    engine.sql("UPDATE e_p SET id = 77 WHERE id = 2")
+    with pytest.raises(ConstraintError):
+        engine.sql("TRUNCATE e_p")
+    with pytest.raises(ConstraintError):
+        engine.sql("DELETE FROM e_p USING e_c WHERE e_p.id = e_c.p")
+    assert got(engine.sql("SELECT * FROM e_p")) == [(1,), (77,)]
+    engine.sql("CREATE TABLE e_n (p INT REFERENCES e_p(id) ON UPDATE SET NULL); INSERT INTO e_n VALUES (77); UPDATE e_p SET id = 78 WHERE id = 77")
+    assert got(engine.sql("SELECT * FROM e_n")) == [(None,)]
+
+
+def test_cascades_go_on(engine):
+    engine.sql("CREATE TABLE e_1 (id INT PRIMARY KEY); CREATE TABLE e_2 (id INT PRIMARY KEY, p INT REFERENCES e_1(id) ON DELETE CASCADE); CREATE TABLE e_3 (p INT REFERENCES e_2(id) ON DELETE CASCADE)")
+    engine.sql("INSERT INTO e_1 VALUES (1), (2); INSERT INTO e_2 VALUES (10, 1), (20, 2); INSERT INTO e_3 VALUES (10), (20); DELETE FROM e_1 WHERE id = 1")
+    assert got(engine.sql("SELECT * FROM e_2")) == [(20, 2)] and got(engine.sql("SELECT * FROM e_3")) == [(20,)]
+
+
+def test_added_constraints_hold(engine):
+    engine.sql("CREATE TABLE e_a (a INT); INSERT INTO e_a VALUES (1), (2); ALTER TABLE e_a ADD CONSTRAINT one UNIQUE (a); ALTER TABLE e_a ADD COLUMN b INT NOT NULL DEFAULT 4")
+    with pytest.raises(ConstraintError):
+        engine.sql("INSERT INTO e_a VALUES (1, 5)")
+    with pytest.raises(ConstraintError):
+        engine.sql("ALTER TABLE e_a ADD CHECK (a > 1)")
+    engine.sql("INSERT INTO e_a (a) VALUES (3)")
+    assert got(engine.sql("SELECT * FROM e_a")) == [(1, 4), (2, 4), (3, 4)]
+
+
+def test_returning(engine):
+    engine.sql("CREATE TABLE e_r (id INT UNIQUE, v INT); INSERT INTO e_r VALUES (1, 10), (2, 20)")
+    assert got(engine.sql("INSERT INTO e_r VALUES (1, 0), (3, 30) ON CONFLICT (id) DO NOTHING RETURNING id, v")) == [(3, 30)]
+    assert got(engine.sql("INSERT INTO e_r VALUES (1, 7), (2, 8) ON CONFLICT (id) DO UPDATE SET v = excluded.v WHERE e_r.v < 15 RETURNING id, v")) == [(1, 7)]
+    engine.sql("CREATE TABLE e_s (id INT, w INT); INSERT INTO e_s VALUES (1, 100), (1, 50), (9, 1)")
+    assert got(engine.sql("UPDATE e_r SET v = s.w FROM e_s s WHERE e_r.id = s.id RETURNING id, v")) == [(1, 50)]
+    assert got(engine.sql("DELETE FROM e_r USING e_s WHERE e_r.id = e_s.id RETURNING v")) == [(50,)]
+    assert got(engine.sql("SELECT * FROM e_r")) == [(2, 20), (3, 30)]
+
+
+def test_with_before_changes_prepared_enums_sequences_vectors(engine):
+    engine.sql("CREATE TYPE mood AS ENUM ('low', 'high'); CREATE TABLE e_m (id INT, m mood); WITH x AS (SELECT 1 AS a) INSERT INTO e_m SELECT a, 'low' FROM x")
+    with pytest.raises(ConstraintError):
+        engine.sql("INSERT INTO e_m VALUES (2, 'zzz')")
+    engine.sql("WITH x AS (SELECT 1 AS a) DELETE FROM e_m WHERE id IN (SELECT a FROM x); PREPARE put AS INSERT INTO e_m VALUES ($1, $2); EXECUTE put(5, 'high'); DEALLOCATE put")
+    assert got(engine.sql("SELECT * FROM e_m")) == [(5, "high")]
+    engine.sql("CREATE SEQUENCE e_q START 5 INCREMENT 2")
+    assert got(engine.sql("SELECT nextval('e_q'), nextval('e_q'), currval('e_q')")) == [(5, 7, 7)]
+    engine.sql("CREATE TABLE e_w (id INT, v VECTOR(3)); INSERT INTO e_w VALUES (nextval('e_q'), '[1,2,3]')")
+    assert got(engine.sql("SELECT id, l2_distance(v, '[1,2,5]'::vector) FROM e_w")) == [(9, 4.0)]
+    assert ("e_w",) in got(engine.sql("SELECT table_name FROM information_schema.tables"))
