@@ -26,18 +26,20 @@ def _(load, spark):
 
 @frame("s4_disk_table", "SELECT r_regionkey, r_name FROM region WHERE r_regionkey < 3 UNION ALL SELECT r_regionkey + 100, r_name FROM region WHERE r_regionkey < 3")
 def _(load, spark):
-    folder = _scratch(spark, "disk_table")
+    folder = scratch_path(spark, "disk_table")
     part = load("region").where("r_regionkey < 3").select("r_regionkey", "r_name")
     part.write.mode("overwrite").parquet(folder)
     part.select((F.col("r_regionkey") + 100).cast("int").alias("r_regionkey"), "r_name").write.mode("append").parquet(folder)
     return spark.read.parquet(folder)
 
 
-def _scratch(spark, name: str) -> str:
-    """A folder for files of a query: in the cluster's shared checkpoint folder where it is set."""
+def scratch_path(spark, name: str) -> str:
+    """A folder for files of a query: in the cluster's shared checkpoint folder, which only a local master (tests) may leave unset."""
     import uuid
 
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set; it must name a folder that the driver and all executors share")
     return f"{shared or tempfile.mkdtemp()}/{name}-{uuid.uuid4().hex}"
 
 
@@ -100,14 +102,14 @@ def _(load, spark):
 
 @frame("s14_s15_copy_text", "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_name END AS n_name FROM nation")
 def _(load, spark):
-    path = _scratch(spark, "copy_text")
+    path = scratch_path(spark, "copy_text")
     copy.copy_to(load("nation").select("n_nationkey", F.expr("CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_name END").alias("n_name")), path)
     return copy.copy_from(spark, path, "n_nationkey int, n_name string")
 
 
 @frame("s14_s15_copy_csv", "SELECT s_suppkey, s_name FROM supplier")
 def _(load, spark):
-    path = _scratch(spark, "copy_csv")
+    path = scratch_path(spark, "copy_csv")
     copy.copy_to(load("supplier").select("s_suppkey", "s_name"), path, csv=True, header=True)
     return copy.copy_from(spark, path, "s_suppkey bigint, s_name string", csv=True, header=True)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lakeloom.dialect import run as run_query
 from lakeloom.engine import Engine
+from lakeloom.plans.basic import scratch_path
 from lakeloom.plans.registry import QUERIES, SQL, frame
 from lakeloom.sources.tables import register
 
@@ -99,3 +100,22 @@ def _(load, spark):
     e.sql("UPDATE x_nations SET a = NULL WHERE a = 1; CREATE TABLE x_moved (o INT, n INT); INSERT INTO x_moved VALUES (2, 20)")
     e.sql("ALTER TABLE x_nations ALTER COLUMN b TYPE INT; UPDATE x_nations SET a = m.n FROM x_moved m WHERE x_nations.a = m.o")
     return e.sql("SELECT a, CASE WHEN b = 2 THEN 20 ELSE b END AS b FROM x_nations")
+
+
+dialect(
+    "x_window_filter",
+    "SELECT o_orderkey, sum(o_totalprice) FILTER (WHERE o_orderstatus = 'F') OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS s, count(*) FILTER (WHERE o_orderstatus = 'O') OVER (PARTITION BY o_custkey) AS n FROM orders",
+    "SELECT o_orderkey, sum(o_totalprice) FILTER (WHERE o_orderstatus = 'F') OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS s, count(*) FILTER (WHERE o_orderstatus = 'O') OVER (PARTITION BY o_custkey) AS n FROM orders",
+)
+
+
+@frame("x_copy_statement", "SELECT CAST(n_nationkey AS VARCHAR) || ',' || CASE WHEN n_regionkey = 1 THEN '' ELSE n_name END AS line FROM nation")
+def _(load, spark):
+    """A table to a file, from there into another one, and that one as lines."""
+    e = Engine(spark)
+    load("nation").createOrReplaceTempView("x_copy_source")
+    path = scratch_path(spark, "x_copy")
+    e.sql("CREATE TABLE x_copied (k INT, n TEXT)")
+    e.sql(f"COPY (SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN NULL ELSE n_name END AS n FROM x_copy_source) TO '{path}' WITH CSV HEADER")
+    e.sql(f"COPY x_copied FROM '{path}' WITH (FORMAT CSV, HEADER)")
+    return e.sql("COPY x_copied (k, n) TO STDOUT WITH CSV")

@@ -22,3 +22,11 @@ def copy_from(spark: SparkSession, path: str, schema: str | T.StructType, csv: b
 def copy_to(df: DataFrame, path: str, csv: bool = False, header: bool = False) -> None:
     """Write a table; one part file a task, so any size is written in parallel."""
     df.write.mode("overwrite").options(**_options(csv, header)).csv(path)
+
+
+def lines(df: DataFrame, csv: bool = False, header: bool = False) -> DataFrame:
+    """The lines that ``copy_to`` writes, a column ``line``; the header comes first."""
+    given = _options(csv, header)
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(given["nullValue"])) for c in df.columns]
+    body = df.select(F.concat_ws(given["sep"], *cells).alias("line"))
+    return df.sparkSession.createDataFrame([(given["sep"].join(df.columns),)], "line string").union(body) if header else body

@@ -36,6 +36,7 @@ def rows(spark):
         ("SELECT id, val / id * 2 AS x FROM t1 WHERE name IS NOT NULL ORDER BY id", [(1, 20.0), (2, 20.0), (4, 2.0)]),
         ("SELECT l2_distance('[1,2]'::vector, '[3,4]'::vector), inner_product('[1,2]'::vector, '[3,4]'::vector)", [(8.0, -11.0)]),
         ("WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n+1 FROM r WHERE n < 4) SELECT sum(n) FROM r", [(10,)]),
+        ("SELECT id, sum(val) FILTER (WHERE name = 'a') OVER (ORDER BY id ROWS UNBOUNDED PRECEDING), count(*) FILTER (WHERE val > 5) OVER () FROM t1 ORDER BY id", [(1, 10, 2), (2, 10, 2), (3, 10, 2), (4, 15, 2)]),
         ('SELECT "id" AS "My Id", \'it\'\'s\' AS q FROM t1 AS x WHERE x.id = 1 -- done', [(1, "it's")]),
     ],
 )
@@ -172,3 +173,16 @@ def test_with_before_changes_prepared_enums_sequences_vectors(engine):
     engine.sql("CREATE TABLE e_w (id INT, v VECTOR(3)); INSERT INTO e_w VALUES (nextval('e_q'), '[1,2,3]')")
     assert got(engine.sql("SELECT id, l2_distance(v, '[1,2,5]'::vector) FROM e_w")) == [(9, 4.0)]
     assert ("e_w",) in got(engine.sql("SELECT table_name FROM information_schema.tables"))
+
+
+def test_copy(spark, tmp_path):
+    e = Engine(spark)
+    got = lambda q: [tuple(r) for r in e.sql(q).collect()]
+    e.sql("CREATE TABLE copied_out (k INT, n TEXT, f BOOLEAN); INSERT INTO copied_out VALUES (1, 'a b', true), (2, NULL, NULL)")
+    e.sql("CREATE TABLE copied_in (id SERIAL, k INT, n TEXT, f BOOLEAN DEFAULT false)")
+    e.sql(f"COPY copied_out TO '{tmp_path}/text'; COPY copied_in (k, n, f) FROM '{tmp_path}/text'")
+    assert sorted(got("SELECT k, n, f FROM copied_in")) == [(1, "a b", True), (2, None, None)]
+    assert got("COPY (SELECT k, n FROM copied_out ORDER BY k) TO STDOUT WITH (FORMAT CSV, HEADER)") == [("k,n",), ("1,a b",), ("2,",)]
+    assert got("COPY copied_out (n) TO STDOUT") == [("a b",), ("\\N",)]
+    with pytest.raises(SyntaxError):
+        e.sql("COPY copied_in FROM STDIN")
