@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from lakeloom.llm.common import slices
 
-BLOCK_BYTES = 8 << 20
-MEMO_WORDS = 400_000
+BLOCK_BYTES = 2 << 20
+MEMO_WORDS = 200_000
 
 
 def byte_alphabet() -> dict[str, int]:
