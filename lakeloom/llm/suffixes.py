@@ -13,15 +13,15 @@ what can match, not over arbitrary cuts of the corpus:
    and starts whose common prefix reaches 200 with a string at another place are duplicates.
 4. An anchor with more than ``GROUP`` different contexts would outgrow a shard. A repeated string holds a number of bytes, from 0 to ``REACH``, before
    its anchor. These numbers are cut into ranges (``PARTS``); strings of a range all hold the bytes from the range's least number before the anchor to what the
-   greatest leaves behind it. Contexts with these bytes in common make up a smaller group, which goes into a shard in its turn; groups that
-   are still too large are cut further, at last into single numbers, where the strings themselves are equal. No pair is lost on the way.
+   greatest leaves behind it. Contexts are cut to the strings of the range; those with these bytes in common make up a smaller group. Equal ones are again
+   duplicates throughout, and one of each goes into a shard; groups that are still too large are cut further, at last into single numbers, where the strings themselves are equal. No pair is lost on the way.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ REACH = LENGTH - GRAM
 GROUP = 8192
 #: In so many ranges those of a too large group are cut, step by step; after the last step each is one number.
 PARTS = (2, 4, 20)
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 1 << 20
 #: Up to so many hashes are broadcast.
 BROADCAST_ROWS = 1_000_000
 BLOCK = 1 << 20
@@ -105,7 +105,7 @@ def _classify(s: np.ndarray) -> np.ndarray:
     """Whether each suffix is of type S (less than the next one); the last symbol is a sentinel, of type S."""
     n = len(s)
     differs = np.r_[s[:-1] != s[1:], True]
-    where = np.where(differs, np.arange(n), n - 1)
+    where = np.where(differs, np.arange(n, dtype=np.int32), np.int32(n - 1))
     where = np.minimum.accumulate(where[::-1])[::-1]
     less = np.r_[s[:-1] < s[1:], True]
     return less[where]
@@ -151,7 +151,7 @@ def _induce(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, alphabet: int) ->
             part = np.concatenate(larger[c])[::-1]
             before = part[part > 0] - 1
             _deal(before[is_s[before]], s, smaller, c)
-    smaller[int(s[-1])].append(np.array([len(s) - 1]))  # the sentinel, which nothing induces
+    smaller[int(s[-1])].append(np.array([len(s) - 1], lms.dtype))  # the sentinel, which nothing induces
     out = []
     for c in range(alphabet):
         out += larger[c]
@@ -189,7 +189,7 @@ def _by_doubling(order: np.ndarray, is_new: np.ndarray, depth: int | None) -> np
 def suffix_array(s: np.ndarray, alphabet: int, depth: int | None = None) -> np.ndarray:
     """The sorted suffixes of a string of small numbers whose last symbol is less than all others; with ``depth`` by so many symbols at least."""
     is_s = _classify(s)
-    lms = np.flatnonzero(is_s & ~np.r_[True, is_s[:-1]])
+    lms = np.flatnonzero(is_s & ~np.r_[True, is_s[:-1]]).astype(np.int32)  # a shard is far below 2 GB
     if not len(lms):
         return np.lexsort((-np.arange(len(s)), s)) if len(s) < 2 else _induce(s, is_s, lms, alphabet)
     rough = _induce(s, is_s, lms, alphabet)
@@ -197,7 +197,7 @@ def suffix_array(s: np.ndarray, alphabet: int, depth: int | None = None) -> np.n
     is_lms[lms] = True
     ordered = rough[is_lms[rough]]
     # Names: equal LMS substrings have equal lengths and equal symbols, compared step by step where the lengths agree.
-    number = np.empty(len(s), np.int64)
+    number = np.empty(len(s), np.int32)
     number[lms] = np.arange(len(lms))
     ends = np.r_[lms[1:], len(s) - 1]
     a, b = ordered[:-1], ordered[1:]
@@ -247,8 +247,8 @@ def repeated_starts(contexts: list[bytes], place: np.ndarray, first: np.ndarray)
     lookup = np.zeros(258, np.int16)
     lookup[used] = np.arange(len(used))
     order = suffix_array(lookup[s], len(used), LENGTH)
-    context = np.repeat(np.arange(len(contexts)), lengths + 1)
-    offset = np.arange(n) - begin[context]
+    context = np.repeat(np.arange(len(contexts), dtype=np.int32), lengths + 1)
+    offset = np.arange(n, dtype=np.int32) - begin.astype(np.int32)[context]
     starts = offset <= lengths[context] - LENGTH
     order = order[starts[order]]
     if len(order) < 2:
@@ -256,7 +256,7 @@ def repeated_starts(contexts: list[bytes], place: np.ndarray, first: np.ndarray)
     window = block_hashes(data)
     a, b = order[:-1], order[1:]
     live = np.arange(len(a))
-    permuted = np.zeros(n, np.int64)  # at each start: the common prefix with its predecessor, in whole steps up to LENGTH
+    permuted = np.zeros(n, np.int16)  # at each start: the common prefix with its predecessor, in whole steps up to LENGTH
     for step in range(0, LENGTH, WINDOW):
         live = live[window[a[live] + step] == window[b[live] + step]]
         permuted[b[live]] = step + WINDOW
@@ -373,7 +373,7 @@ def ranges(lo: int, hi: int, parts: int) -> list[tuple[int, int]]:
 
 
 def _narrowed(parts: int):
-    """For each range of a context's, its row with two hashes of the bytes that all strings of the range hold, if the context has them."""
+    """For each range of a context's, its row with two hashes of the bytes that all strings of the range hold, if the context has them. The context is cut to the strings of the range, so that no string is sorted in two groups."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
@@ -382,10 +382,13 @@ def _narrowed(parts: int):
                     a, b = p - s - lo, p - s + LENGTH - hi
                     if a >= 0 and b <= len(context):
                         d = xxhash.xxh128_digest(context[a:b], lo)
-                        yield int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), context, rk, digest, s, p, lo, hi
+                        first, end = max(0, p - s - hi), p - s - lo + LENGTH
+                        cut = context[first:end]
+                        f = _signed(xxhash.xxh64_intdigest(cut, p - s - first))
+                        yield int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), f, cut, rk, digest, s + first, p, lo, hi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _in_batches(rows(batches), ["h", "other", "context", "rk", "digest", "s", "p", "lo", "hi"], [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), *[pa.int32()] * 4])
+        yield from _in_batches(rows(batches), ["h", "other", "f", "context", "rk", "digest", "s", "p", "lo", "hi"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), *[pa.int32()] * 4])
 
     return run
 
@@ -399,28 +402,31 @@ def _with_partners(rows: list[tuple]) -> list[tuple]:
     return [r for r in rows if seen[0, r[5]] > 1 or seen[1, r[6]] > 1]
 
 
-def _shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffix arrays over runs of whole groups of at least ``SHARD_BYTES`` together; rows come sorted by hash."""
+def _shards(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Runs of whole groups of at most ``SHARD_BYTES`` together, or of one group that is larger; rows come sorted by hash."""
     held: list[tuple] = []
     size = 0
+    for _, group in groupby(rows, key=lambda row: row[0]):
+        own = list(group)
+        more = sum(len(row[1]) for row in own)
+        if held and size + more > SHARD_BYTES:
+            yield held
+            held, size = [], 0
+        held += own
+        size += more
+    if held:
+        yield held
 
-    def out(rows: list[tuple]) -> pa.RecordBatch:
+
+def _shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Suffix arrays over shards; rows come sorted by hash."""
+    for rows in _shards(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns))):
         rows = _with_partners(rows)
         texts = {k: i for i, k in enumerate(dict.fromkeys((r[2], r[3]) for r in rows))}
         place = np.array([texts[r[2], r[3]] for r in rows], np.int64)
         found = repeated_starts([r[1] for r in rows], place, np.array([r[4] for r in rows], np.int64))
         spans = [(r[2], r[3], a + r[4], b + r[4]) for r, starts in zip(rows, found) for a, b in spans_of(starts)]
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in spans], pa.int64()) for i in range(4)], _SPANS)
-
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if size >= SHARD_BYTES and row[0] != held[-1][0]:
-                yield out(held)
-                held, size = [], 0
-            held.append(row)
-            size += len(row[1])
-    if held:
-        yield out(held)
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in spans], pa.int64()) for i in range(4)], _SPANS)
 
 
 def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -475,33 +481,37 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", group
     for part in groups:
         contexts = contexts.unionByName(part)
     sorted_spans = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_shard_rows, "rk long, digest long, a long, b long")
-    more = (sorted_spans if equal is None else sorted_spans.unionByName(equal)).groupBy("rk", "digest").agg(F.collect_set(F.struct("a", "b")).alias("more"))
+    for part in equal:
+        sorted_spans = sorted_spans.unionByName(part)
+    more = sorted_spans.groupBy("rk", "digest").agg(F.collect_set(F.struct("a", "b")).alias("more"))
     joined = dealt.join(own.select("rk", "digest", "copies"), ["rk", "digest"], "left").join(by_text, ["rk", "digest"], "left").join(more, ["rk", "digest"], "left")
     schema = T.StructType([T.StructField("id", df.schema[key].dataType), *T._parse_datatype_string("n_bytes long, kept binary, gone array<struct<start: long, stop: long>>").fields])
     return joined.select("id", "x", "copies", "found", "more").mapInArrow(_kept_rows, schema).withColumnRenamed("id", key)
 
 
-def _from_crowds(crowd: DataFrame, group: int, scratch: Scratch) -> tuple[list[DataFrame], DataFrame | None]:
-    """The contexts of crowded anchors in groups of at most ``group``, and the (rk, digest, a, b) of equal strings that are more than that."""
+def _from_crowds(crowd: DataFrame, group: int, scratch: Scratch) -> tuple[list[DataFrame], list[DataFrame]]:
+    """The contexts of crowded anchors in groups of at most ``group``, and the (rk, digest, a, b) of cut contexts that occur more than once."""
     crowd = scratch.keep("crowd", crowd)
     groups: list[DataFrame] = []
+    equal: list[DataFrame] = []
     for k, parts in enumerate(PARTS):
         if crowd.isEmpty():
-            return groups, None
-        narrowed = crowd.mapInArrow(_narrowed(parts), "h long, other long, " + _CROWD)
-        # Counted before the shuffle, so a large group is no task of its own.
-        shared = checkpointed(narrowed.groupBy("h", "other").agg(F.count("*").alias("n")).where("n > 1"))
-        size = F.broadcast if shared.count() <= BROADCAST_ROWS else (lambda df: df)
-        groups.append(narrowed.join(size(shared.where(F.col("n") <= group)), ["h", "other"]).select("h", "context", "rk", "digest", "s", F.col("h").alias("before"), F.col("h").alias("behind")))
-        large = shared.where(F.col("n") > group)
-        if k < len(PARTS) - 1:
-            crowd = scratch.keep(f"crowd-{k}", narrowed.join(size(large), ["h", "other"]).select(*crowd.columns))
-    # Of the last groups all strings are the same; contexts of one text may hold one at the same place.
-    at = F.col("p") - F.col("lo")
-    place = F.struct("rk", "digest", at.alias("a"))
-    strings = narrowed.join(size(large.select("h", "other")), ["h", "other"])
-    several = checkpointed(strings.groupBy("h", "other").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low != high").select("h", "other"))
-    return groups, strings.join(size(several), ["h", "other"]).select("rk", "digest", at.cast("long").alias("a"), (at + LENGTH).cast("long").alias("b"))
+            break
+        narrowed = scratch.keep(f"narrowed-{k}", crowd.mapInArrow(_narrowed(parts), "h long, other long, f long, " + _CROWD))
+        # Equal contexts are counted before they meet; one of each goes on. In the last ranges all of a group are equal.
+        place = F.struct("rk", "digest", "s")
+        alike = narrowed.groupBy("h", "other", "f").agg(F.count("*").alias("n"), F.min(place).alias("acting"))
+        sizes = alike.groupBy("h", "other").agg(F.count("*").alias("contexts"))
+        marks = checkpointed(alike.join(sizes, ["h", "other"]).where("n > 1 OR contexts > 1"))
+        bounded = F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks
+        marked = narrowed.join(bounded, ["h", "other", "f"]).select("h", "contexts", *crowd.columns, (F.col("n") > 1).alias("equal"), (place == F.col("acting")).alias("acts"))
+        marked = scratch.keep(f"marked-{k}", marked)
+        scratch.drop(f"narrowed-{k}")
+        equal.append(marked.where("equal").select("rk", "digest", F.col("s").cast("long").alias("a"), (F.col("s") + F.length("context")).cast("long").alias("b")))
+        acting = marked.where("acts AND contexts > 1")
+        groups.append(acting.where(F.col("contexts") <= group).select("h", "context", "rk", "digest", "s", F.col("h").alias("before"), F.col("h").alias("behind")))
+        crowd = acting.where(F.col("contexts") > group).select(*crowd.columns)
+    return groups, equal
 
 
 def digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -82,3 +82,48 @@ def test_last_ranges_are_single_numbers():
     for parts in suffixes.PARTS:
         found = [r for lo, hi in found for r in suffixes.ranges(lo, hi, parts)]
     assert found == [(i, i) for i in range(suffixes.REACH + 1)]
+
+
+def test_shards_stay_small(monkeypatch):
+    """Two groups share a shard only if both fit; no group is cut."""
+    monkeypatch.setattr(suffixes, "SHARD_BYTES", 1000)
+    rows = [(h, bytes(n)) for h, n in ((1, 400), (2, 500), (3, 900), (4, 700), (4, 800), (5, 10))]
+    found = list(suffixes._shards(iter(rows)))
+    assert [[r[0] for r in x] for x in found] == [[1, 2], [3], [4, 4], [5]]
+
+
+def test_contexts_of_a_range_hold_its_strings_alone():
+    import pyarrow as pa
+
+    random.seed(3)
+    data = bytes(random.choices(b"abc", k=suffixes.LENGTH + suffixes.REACH))
+    p = suffixes.REACH
+    row = suffixes._batch([(data, 7, 8, 0, p, 0, suffixes.REACH)], ["context", "rk", "digest", "s", "p", "lo", "hi"], [pa.binary(), pa.int64(), pa.int64(), *[pa.int32()] * 4])
+    for parts in (2, 8, 160):
+        made = [r for b in suffixes._narrowed(parts)(iter([row])) for r in b.to_pylist()]
+        starts = [i for r in made for i in range(r["s"], r["s"] + len(r["context"]) - suffixes.LENGTH + 1)]
+        assert sorted(starts) == list(range(suffixes.REACH + 1))
+        assert all(data[r["s"] : r["s"] + len(r["context"])] == r["context"] for r in made)
+
+
+def test_equal_cut_contexts_go_no_further(spark, monkeypatch, tmp_path):
+    """Contexts that differ only outside of a range are equal within it: none of them goes into a shard twice."""
+    from lakeloom.llm.common import Scratch
+
+    random.seed(12)
+    say = lambda n: "".join(random.choices("abcdefghij ", k=n))
+    passage = say(600)
+    texts = [say(80) + passage + say(80) for _ in range(40)]
+    made = []
+    default = suffixes._from_crowds
+
+    def crowds(crowd, group, scratch: Scratch):
+        groups, equal = default(crowd, group, scratch)
+        made.append((crowd.count(), sum(x.count() for x in groups), sum(x.count() for x in equal)))
+        return groups, equal
+
+    monkeypatch.setattr(suffixes, "_from_crowds", crowds)
+    found = suffixes.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), group=8).collect()
+    assert all(len(passage) <= sum(g.stop - g.start for g in r.gone) <= len(passage) + 20 for r in found)
+    (before, shards, equal) = made[0]
+    assert before > 40 and equal > 0 and shards < before
