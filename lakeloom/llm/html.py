@@ -316,7 +316,7 @@ def nodes(root: Node) -> Iterator[Node]:
         todo.extend(reversed(node.kids))
 
 
-def content(root: Node, template: dict[int, Node], constant: frozenset[int], sure: frozenset[int]) -> list[str]:
+def content(root: Node, template: dict[int, Node], constant: frozenset[int], sure: frozenset[int] = frozenset()) -> list[str]:
     """The blocks of the page's content. ``template`` are its matches with the reference, ``constant`` the reference nodes that are template, ``sure`` those of many pages."""
     has_article = any(n.inside and not n.furniture and n.text for n in nodes(root))
     out: list[str] = []
