@@ -87,3 +87,22 @@ def test_near_duplicates(spark, cell, monkeypatch):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_small_rounds_take_few_tasks(spark):
+    """Each round of components ran a task for every shuffle partition in each of its stages, however few its edges; here 5,708 tasks in all."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    context = spark.sparkContext
+    context.setJobGroup("rounds", "rounds")
+    try:
+        found = {r.node: r.root for r in connected_components(spark.createDataFrame([(i, i + 1) for i in range(60)], "a int, b int"), "a", "b").collect()}
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert found == dict.fromkeys(range(61), 0)
+    tracker = context.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("rounds") for s in tracker.getJobInfo(j).stageIds}
+    assert sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s))) < 1500
