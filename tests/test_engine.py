@@ -186,3 +186,27 @@ def test_copy(spark, tmp_path):
     assert got("COPY copied_out (n) TO STDOUT") == [("a b",), ("\\N",)]
     with pytest.raises(SyntaxError):
         e.sql("COPY copied_in FROM STDIN")
+
+
+@pytest.mark.parametrize("values", ["(2), (NULL)", "(2), (3), (3)", "(3)", ""])
+def test_any_and_all_of_a_query(spark, values):
+    import duckdb
+
+    db = duckdb.connect()
+    for name, rows in (("q_left", "(1), (2), (3), (NULL), (7)"), ("q_right", values)):
+        text = f"SELECT CAST(v AS INT) AS v FROM (VALUES {rows}) t(v)" if rows else "SELECT CAST(1 AS INT) AS v WHERE false"
+        spark.sql(text).createOrReplaceTempView(name)
+        db.execute(f"CREATE TABLE {name} AS {text}")
+    for operator in ("<>", "<", "<=", ">", ">=", "="):
+        for form in ("v {} ANY (SELECT v FROM q_right)", "v {} ALL (SELECT v FROM q_right)"):
+            test = form.format(operator)
+            for text in (f"SELECT v FROM q_left WHERE NOT ({test})", f"SELECT v FROM q_left WHERE v = 7 OR {test}"):
+                assert sorted(map(str, map(tuple, spark.sql(translate(text)).collect()))) == sorted(map(str, db.execute(text).fetchall())), text
+
+
+@pytest.mark.parametrize("operator", ["<> ALL", "> ALL", "<> ANY", "< ANY"])
+def test_comparisons_with_a_query_neither_meet_all_rows_nor_gather_them(spark, operator):
+    spark.range(100).createOrReplaceTempView("q_ids")
+    df = spark.sql(translate(f"SELECT id FROM q_ids WHERE id = 5 OR id {operator} (SELECT id + 3 FROM q_ids)"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "collect_list" not in plan
